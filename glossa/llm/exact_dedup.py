@@ -42,8 +42,8 @@ class DigestIndex:
 
     def append(self, entries: DataFrame) -> None:
         """Add the entries whose digest the index lacks."""
+        entries = written(entries, "digest-new")  # else the anti-join is moved below the aggregate, before rows of a digest are one
         new = entries.join(self.frame().select("digest").hint("merge"), "digest", "left_anti")
-        new = written(new, "digest-new")  # the index can't be read and appended in one job
         cols = ("digest", "keep_id", "group_size")
         new.select(*cols).repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)

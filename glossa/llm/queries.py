@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op5_url_filter": url_filter.op5_url_filter,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,

@@ -79,14 +79,16 @@ def _blocks_of(batches, parts: int):
         for i, w in enumerate(own):
             own[w] = i
         codes = np.fromiter(map(own.__getitem__, flat), np.uint32, len(flat))
+        times = np.bincount(codes, minlength=len(own))
+        codes = np.where(times[codes] == 1, 0, codes + 1).astype(np.uint32)  # 0: the next word that occurs once
         distinct = list(own)
         at = (pd.util.hash_array(np.array(distinct, dtype=object), categorize=False) % np.uint64(parts)).astype(np.uint32) if distinct else np.zeros(0, np.uint32)
         order = np.argsort(at, kind="stable")
         used, first = np.unique(at[order], return_index=True)
         sent = []
-        for p, idx in zip(used.tolist(), np.split(order, first[1:]), strict=True):
+        for p, idx in zip(used.tolist(), np.split(order, first[1:]), strict=False):
             sent.append({"part": p, "payload": pack_strings([distinct[i].encode() for i in idx.tolist()])})
-        yield base + k, ids, lens, pack(codes), pack(at), sent
+        yield base + k, ids, lens, pack(codes, 6), pack(at), sent
 
 
 def _split(docs: DataFrame, parts: int) -> DataFrame:
@@ -126,7 +128,7 @@ def _encode_part(vocab):
             at = np.fromiter(map(own.__getitem__, x), np.int64, len(x))
             got = ids[ranges(starts[at], lens[at])]
             got = got.astype(np.uint16) if got.size and got.max() < 65536 else got
-            out.append({"part": 0, "width": got.dtype.itemsize, "lens": pack(lens[at]), "ids": pack(got)})
+            out.append({"part": 0, "width": got.dtype.itemsize, "lens": pack(lens[at], 6), "ids": pack(got, 6)})
         for r, p in zip(out, table.column("part").to_pylist(), strict=True):
             r["part"] = p
         answer = pa.array(out, pa.struct([("part", pa.int32()), ("width", pa.int32()), ("lens", pa.binary()), ("ids", pa.binary())]))
@@ -142,29 +144,29 @@ def _joined(vocab_pieces, id_type):
         import numpy as np
 
         piece = vocab_pieces.value
-        sizes = np.fromiter(map(len, piece), np.int64, len(piece))
-        offsets, body = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.frombuffer(b"".join(piece), np.uint8)
         for batch in batches:
-            for row in batch.to_pylist():
-                at, codes = unpack(row["at"], np.uint32), unpack(row["codes"], np.uint32)
+            for i in range(batch.num_rows):  # a row is a block: one at a time
+                row = batch.slice(i, 1).to_pylist()[0]
+                at, codes = unpack(row["at"], np.uint32), unpack(row["codes"], np.uint32).astype(np.int64)
+                often = np.zeros(len(at), bool)
+                often[codes[codes > 0] - 1] = True
+                codes[codes == 0] = np.flatnonzero(~often) + 1
+                codes -= 1
                 order = np.argsort(at, kind="stable")
                 got = sorted(row["answers"] or [], key=lambda a: a["part"])
-                lens = [unpack(a["lens"], np.uint32) for a in got]
-                ids = [unpack(a["ids"], np.uint16 if a["width"] == 2 else np.uint32) for a in got]
-                by_word = np.zeros(len(at), np.int64)
-                by_word[order] = np.concatenate(lens) if lens else 0
-                flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
-                starts = np.zeros(len(at), np.int64)
-                starts[order] = np.concatenate(([0], np.cumsum(by_word[order])[:-1])) if len(at) else 0
-                counts = by_word[codes]
-                ids = flat[ranges(starts[codes], counts)]
-                text = body[ranges(offsets[ids], sizes[ids])]
-                word_ends = np.concatenate(([0], np.cumsum(counts)))
-                text_ends = np.concatenate(([0], np.cumsum(sizes[ids])))
-                ends = word_ends[np.concatenate(([0], np.cumsum(row["lens"], dtype=np.int64)))]
-                raw, text, ends, text_ends = ids.astype("<u4").tobytes(), text.tobytes(), ends.tolist(), text_ends[ends].tolist()
-                a = [raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)]
-                b = [text[x:y].decode("utf-8", "replace") for x, y in zip(text_ends, text_ends[1:], strict=False)]
+                lens, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                flat = np.zeros(0, np.uint16)
+                if got:
+                    lens[order] = np.concatenate([unpack(a["lens"], np.uint32) for a in got])
+                    starts[order] = np.cumsum(lens[order]) - lens[order]
+                    flat = np.concatenate([unpack(a["ids"], np.uint16 if a["width"] == 2 else np.uint32) for a in got])
+                done, a, b = 0, [], []
+                for n in row["lens"]:
+                    own = codes[done : done + n]
+                    done += n
+                    ids = flat[ranges(starts[own], lens[own])]
+                    a.append(ids.astype("<u4").tobytes())
+                    b.append(b"".join(map(piece.__getitem__, ids.tolist())).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), pa.array(a, pa.binary()), pa.array(b, pa.string())], names=["id", "ids", "decoded"])
 
     return run

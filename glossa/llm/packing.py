@@ -32,17 +32,16 @@ def unpack(data: bytes, dtype) -> np.ndarray:
 
 
 def pack_strings(words: list[bytes]) -> bytes:
-    lens = np.fromiter(map(len, words), np.uint32, len(words))
-    body = lens.tobytes() + b"".join(words)
-    return np.uint32(len(words)).tobytes() + zstandard.ZstdCompressor(level=3).compress(body)
+    lens = pack(np.fromiter(map(len, words), np.uint32, len(words)))
+    body = zstandard.ZstdCompressor(level=6).compress(b"".join(words))
+    return np.uint32(len(lens)).tobytes() + lens + body
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data[:4], np.uint32)[0])
-    body = zstandard.ZstdDecompressor().decompress(data[4:])
-    ends = np.cumsum(np.frombuffer(body[: 4 * n], np.uint32), dtype=np.int64) + 4 * n
-    starts = np.concatenate(([4 * n], ends[:-1])) if n else ends
-    return [body[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    n = int(np.frombuffer(data[:4], np.uint32)[0]) + 4
+    ends = np.cumsum(unpack(data[4:n], np.uint32), dtype=np.int64).tolist()
+    body = zstandard.ZstdDecompressor().decompress(data[n:])
+    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

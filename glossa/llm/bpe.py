@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .packing import blocks, n_parts, pack, pack_strings, ranges, unpack, unpack_strings
+from .packing import blocks, n_parts, pack, pack_strings, ranges, trim, unpack, unpack_strings
 from .shared import fresh_path, text_bytes, written
 
 #: White space of any of the libraries, so that a character outside is none for all of them.
@@ -65,6 +65,14 @@ def _tokenizer(vocab_json: str):
     return t
 
 
+class _Codes(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def _blocks_of(batches, parts: int):
     """A row a block: ids, words a document, codes of all words, the distinct words by part."""
     import numpy as np
@@ -72,16 +80,16 @@ def _blocks_of(batches, parts: int):
 
     base = TaskContext.get().partitionId() << 32
     for k, (ids, texts) in enumerate(blocks(batches)):
-        split = [words(t) for t in texts]
-        lens = [len(x) for x in split]
-        flat = [w for x in split for w in x]
-        own = dict.fromkeys(flat)
-        for i, w in enumerate(own):
-            own[w] = i
-        codes = np.fromiter(map(own.__getitem__, flat), np.uint32, len(flat))
+        own, codes = _Codes(), []
+        for t in texts:
+            w = words(t)
+            codes.append(np.fromiter(map(own.__getitem__, w), np.int32, len(w)))
+        lens = list(map(len, codes))
+        codes = np.concatenate(codes)
         times = np.bincount(codes, minlength=len(own))
         codes = np.where(times[codes] == 1, 0, codes + 1).astype(np.uint32)  # 0: the next word that occurs once
         distinct = list(own)
+        del own
         at = (pd.util.hash_array(np.array(distinct, dtype=object), categorize=False) % np.uint64(parts)).astype(np.uint32) if distinct else np.zeros(0, np.uint32)
         order = np.argsort(at, kind="stable")
         used, first = np.unique(at[order], return_index=True)
@@ -89,6 +97,7 @@ def _blocks_of(batches, parts: int):
         for p, idx in zip(used.tolist(), np.split(order, first[1:]), strict=False):
             sent.append({"part": p, "payload": pack_strings([distinct[i].encode() for i in idx.tolist()])})
         yield base + k, ids, lens, pack(codes, 6), pack(at), sent
+        trim()
 
 
 def _split(docs: DataFrame, parts: int) -> DataFrame:
@@ -131,6 +140,8 @@ def _encode_part(vocab):
             out.append({"part": 0, "width": got.dtype.itemsize, "lens": pack(lens[at], 6), "ids": pack(got, 6)})
         for r, p in zip(out, table.column("part").to_pylist(), strict=True):
             r["part"] = p
+        del own, asked, distinct
+        trim()
         answer = pa.array(out, pa.struct([("part", pa.int32()), ("width", pa.int32()), ("lens", pa.binary()), ("ids", pa.binary())]))
         return pa.table({"block": table.column("block"), "answer": answer})
 
@@ -168,6 +179,8 @@ def _joined(vocab_pieces, id_type):
                     a.append(ids.astype("<u4").tobytes())
                     b.append(b"".join(map(piece.__getitem__, ids.tolist())).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), pa.array(a, pa.binary()), pa.array(b, pa.string())], names=["id", "ids", "decoded"])
+                del a, b, flat, codes, lens, starts
+                trim()
 
     return run
 

@@ -7,6 +7,9 @@ at least, so there are never more payloads than keys.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import zstandard
 
@@ -58,12 +61,20 @@ def blocks(batches, limit: int = BLOCK_BYTES):
     """(ids, texts) of blocks of about ``limit`` bytes out of Arrow batches of (id, text); null texts are empty."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1]) + 8
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+        for start in range(0, batch.num_rows, 256):
+            some = batch.slice(start, 256)
+            for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t or "")
+                size += len(texts[-1]) + 8
+                if size >= limit:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+
+
+def trim() -> None:
+    """Give freed memory back, as workers are kept for later tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

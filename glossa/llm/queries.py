@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
@@ -17,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_url_filter": url_filter.OP5_SQL,
+        "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
     }

@@ -179,7 +179,7 @@ def near_groups(
         members = written(_shared_nodes(nodes.select("id", "low", "high", "node")), "nodes")
         stars = members.filter("id <> head").select("id", "low", "high", "head").distinct()
         heads = reps.select(F.col("id").alias("head"), F.col("low").alias("head_low"), F.col("high").alias("head_high"))
-        pairs.append(stars.join(heads, "head").filter(apart).select(F.col("head").alias("a"), F.col("id").alias("b")))
+        pairs.append(written(stars.join(heads, "head").filter(apart).select(F.col("head").alias("a"), F.col("id").alias("b")), "stars"))
         large = members.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
             ends.append(members)
@@ -187,7 +187,8 @@ def near_groups(
         ends.append(members.filter(F.col("size") <= small))
         nodes = _children(large.select("id", "low", "high", "node").join(reps.select("id", "path"), "id"), level, percent)
     linker = Linker(docs, k, percent)
-    first = linker.links(_all(pairs))
+    stars = written(_all(pairs).distinct(), "stars")
+    first = linker.links(stars)
     group = written(components(first), "components")
 
     # what is in one component needs no further link: only members of other components than their node's
@@ -199,7 +200,7 @@ def near_groups(
     x, y = odd.alias("x"), mixed.alias("y")
     near = F.expr(f"bit_count(x.low ^ y.low) + bit_count(x.high ^ y.high) <= {most_bits_apart(percent)}")
     met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & near & ((F.col("y.own") == F.col("y.of_head")) | (F.col("x.id") < F.col("y.id"))))
-    more = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(_all(pairs).distinct(), ["a", "b"], "left_anti")
+    more = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = first.unionByName(linker.links(more))
     group = components(links)
 

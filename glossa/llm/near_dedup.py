@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class with one representative. In each of several independent
 trees, every node chooses a minwise position (sometimes two) and deals its documents to children by the
 minimum that they have there, so that similar documents keep together. All members of a node are first held
-against its smallest id; nodes that are small enough are then compared exhaustively, where members are not
-linked by then; larger ones branch on. Links are confirmed on the full sets, and documents that links
+against its smallest id. Nodes whose members are not connected by then branch on until they are small enough
+to be compared exhaustively. Links are confirmed on the full sets, and documents that links
 connect are one group.
 """
 
@@ -22,7 +22,8 @@ from .hashing import M, Words, chunks, mix
 from .packing import trim
 from .shared import components, join_groups, semi_by_id, written
 
-N_MINIMA = 128  # a bit of each is kept
+N_MINIMA = 256  # a bit of each is kept
+BITS = [f"b{i}" for i in range(N_MINIMA // 64)]
 N_PATH = 32  # of which so many are kept whole, to choose paths by
 
 
@@ -63,20 +64,18 @@ def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sketches(k: int, id_type):
     def run(batches):
         words, (a, b) = Words(), _factors()
-        names = ["id", "n", "s1", "s2", "low", "high", "path"]
+        names = ["id", "n", "s1", "s2", *BITS, "path"]
         for ids, texts in chunks(batches):
-            n, s1, s2, low, high, path = [], [], [], [], [], []
+            n, s1, s2, bits, path = [], [], [], [], []
             for s in shingle_sets(texts, words, k):
                 n.append(len(s))
                 s1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(mix(s ^ M).sum(dtype=np.uint64).view(np.int64)))
                 m = _minima(s, a, b)
                 x = m * np.uint32(0x9E3779B1)
-                bits = np.packbits((x >> np.uint32(31)).astype(np.uint8)).view(np.int64)
-                low.append(int(bits[0]))
-                high.append(int(bits[1]))
+                bits.append(np.packbits((x >> np.uint32(31)).astype(np.uint8)).view(np.int64).tolist())
                 path.append(m[:N_PATH].view(np.int32).tolist())
-            cols = [pa.array(ids, id_type), pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in (s1, s2, low, high)), pa.array(path, pa.list_(pa.int32()))]
+            cols = [pa.array(ids, id_type), pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in (s1, s2, *zip(*bits, strict=True))), pa.array(path, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
         trim()
 
@@ -148,7 +147,7 @@ def _shared_nodes(nodes: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-    trees: int = 12, small: int = 48, levels: int = 16,
+    trees: int = 12, small: int = 24, levels: int = 4, most_levels: int = 40,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
@@ -159,47 +158,56 @@ def near_groups(
     Other columns are ignored; an empty table gives no rows.
 
     A pair at the threshold meets in one of ``trees`` nodes of the first level but for a chance of
-    (1 - percent / 100) ** trees. Nodes of up to ``small`` documents are compared whole. Larger ones branch
-    on, up to ``levels``; what is larger even then shares that many minima and is compared whole as well,
-    but only where members are not linked yet.
+    (1 - percent / 100) ** trees. In the first ``levels`` levels, members are held against their node's smallest
+    id. Then nodes whose members are not all in one component branch on until they have up to ``small``
+    members, which are compared whole where they are not connected; what is larger after ``most_levels``
+    more levels is compared whole as well.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = to_arrow_type(docs.schema["id"].dataType)
-    rows = written(docs.mapInArrow(_sketches(k, id_type), f"id {kind}, n long, s1 long, s2 long, low long, high long, path array<int>"), "sketches")
+    rows = written(docs.mapInArrow(_sketches(k, id_type), f"id {kind}, n long, s1 long, s2 long, {', '.join(f'{b} long' for b in BITS)}, path array<int>"), "sketches")
     key = ["n", "s1", "s2"]
     classes = written(rows.filter("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     reps = rows.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = written(reps.select("id", "low", "high", "path"), "reps")
+    reps = written(reps.select("id", *BITS, "path"), "reps")
 
-    nodes = reps.select("id", "low", "high", "path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit("tree"), t, F.element_at("path", t + 1)))).alias("node"))
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("head_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("head_high"))) <= most_bits_apart(percent)
+    nodes = reps.select("id", *BITS, "path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit("tree"), t, F.element_at("path", t + 1)))).alias("node"))
+    apart = F.expr(" + ".join(f"bit_count({b} ^ head_{b})" for b in BITS)) <= most_bits_apart(percent)
     ends, pairs = [], []
     for level in range(1, levels + 1):
-        members = written(_shared_nodes(nodes.select("id", "low", "high", "node")), "nodes")
-        stars = members.filter("id <> head").select("id", "low", "high", "head").distinct()
-        heads = reps.select(F.col("id").alias("head"), F.col("low").alias("head_low"), F.col("high").alias("head_high"))
+        members = written(_shared_nodes(nodes.select("id", *BITS, "node")), "nodes")
+        stars = members.filter("id <> head").select("id", *BITS, "head").distinct()
+        heads = reps.select(F.col("id").alias("head"), *[F.col(b).alias(f"head_{b}") for b in BITS])
         pairs.append(written(stars.join(heads, "head").filter(apart).select(F.col("head").alias("a"), F.col("id").alias("b")), "stars"))
         large = members.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
             ends.append(members)
             break
         ends.append(members.filter(F.col("size") <= small))
-        nodes = _children(large.select("id", "low", "high", "node").join(reps.select("id", "path"), "id"), level, percent)
+        nodes = _children(large.select("id", *BITS, "node").join(reps.select("id", "path"), "id"), level, percent)
     linker = Linker(docs, k, percent)
     stars = written(_all(pairs).distinct(), "stars")
     first = linker.links(stars)
     group = written(components(first), "components")
 
-    # what is in one component needs no further link: only members of other components than their node's
-    # head are held against the node's rest
-    last = _all(ends).join(group.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    last = written(last.join(group.select(F.col("id").alias("head"), F.col("component").alias("of_head")), "head", "left").withColumn("of_head", F.coalesce("of_head", "head")), "members")
-    odd = last.filter("own <> of_head")
-    mixed = last.join(odd.select("node").distinct(), "node", "left_semi")
-    x, y = odd.alias("x"), mixed.alias("y")
-    near = F.expr(f"bit_count(x.low ^ y.low) + bit_count(x.high ^ y.high) <= {most_bits_apart(percent)}")
-    met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & near & ((F.col("y.own") == F.col("y.of_head")) | (F.col("x.id") < F.col("y.id"))))
+    # What is in one component needs no further link: only nodes of two components or more branch on, and
+    # only members of different components are compared.
+    nodes = _all(ends).select("id", *BITS, "node").join(group.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    ends = []
+    for level in range(levels + 1, levels + most_levels + 1):
+        mixed = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y")
+        members = written(nodes.join(mixed.select("node", "size"), "node"), "mixed")
+        large = members.filter(F.col("size") > small)
+        if level == levels + most_levels or large.isEmpty():
+            ends.append(members)
+            break
+        ends.append(members.filter(F.col("size") <= small))
+        nodes = _children(large.drop("size").join(reps.select("id", "path"), "id"), level, percent).drop("path")
+    last = _all(ends)
+    x, y = last.alias("x"), last.alias("y")
+    near = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)) <= most_bits_apart(percent)
+    met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.own") < F.col("y.own")) & near)
     more = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = first.unionByName(linker.links(more))
     group = components(links)

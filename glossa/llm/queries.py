@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, url_filter
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_quality": quality.op3_quality,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op7_language_id": language_id.op7_language_id,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_DIR = "/tmp/checkpoints"
@@ -91,3 +91,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
     ids = roots.select(F.col("u").alias("id"), "component")
     return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).join(ids.select("id"), "id", "left_anti").distinct())
+
+
+def bounded_sample(rows: DataFrame, label: str, id_col: str, per_class: int, seed: int = 0) -> DataFrame:
+    """Up to ``per_class`` rows of each label, those with the least hash of the id: the same for any partitioning."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    order = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40))
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        # twice as many as are needed, so that a large class is cut before it is sorted
+        share = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(min(1.0, (2.0 * per_class + 50) / n))).otherwise(share)
+    some = rows.withColumn("_order", order).filter(F.col("_order") < share * F.lit(float(1 << 40)))
+    first = Window.partitionBy(label).orderBy("_order", id_col)
+    return some.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_class).drop("_order", "_rank")

@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class with one representative. In each of several independent
 trees, every node chooses a minwise position (sometimes two) and deals its documents to children by the
 minimum that they have there, so that similar documents keep together. All members of a node are first held
-against its smallest id. Nodes whose members are not connected by then branch on until they are small enough
-to be compared exhaustively. Links are confirmed on the full sets, and documents that links
+against its smallest id; large nodes branch on, and small ones are compared exhaustively where their members
+are not connected by then. Links are confirmed on the full sets, and documents that links
 connect are one group.
 """
 
@@ -24,6 +24,7 @@ from .shared import components, join_groups, semi_by_id, written
 
 N_MINIMA = 256  # a bit of each is kept
 BITS = [f"b{i}" for i in range(N_MINIMA // 64)]
+BRANCHING = 3  # levels in which nodes may choose two positions
 N_PATH = 32  # of which so many are kept whole, to choose paths by
 
 
@@ -130,12 +131,18 @@ def most_bits_apart(percent: int) -> int:
 
 
 def _children(nodes: DataFrame, level: int, percent: int) -> DataFrame:
-    """A node's documents by the minimum at one position that the node chooses, or two, so that a pair at the
-    threshold is expected to stay together in one child."""
-    second = int(1000 * (100 / percent - 1))
+    """A node's documents by the minimum at a position that the node chooses.
+
+    In the first levels a node may choose two positions, so that a pair at the threshold is expected to stay
+    together in one child. Nodes that are large even then hold many documents much more alike than that,
+    whose memberships would multiply: they choose one pair of positions a level.
+    """
     at = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(N_PATH)) for i in (0, 1)]
-    child = [F.xxhash64("node", F.lit(level), F.lit(i), p, F.element_at("path", (p + 1).cast("int"))) for i, p in enumerate(at)]
-    more = F.pmod(F.xxhash64(F.lit("more"), "node"), F.lit(1000)) < second
+    value = [F.element_at("path", (p + 1).cast("int")) for p in at]
+    if level > BRANCHING:
+        return nodes.withColumn("node", F.xxhash64("node", F.lit(level), *at, *value))
+    child = [F.xxhash64("node", F.lit(level), F.lit(i), at[i], value[i]) for i in (0, 1)]
+    more = F.pmod(F.xxhash64(F.lit("more"), "node"), F.lit(1000)) < int(1000 * (100 / percent - 1))
     return nodes.withColumn("node", F.explode(F.when(more, F.array_distinct(F.array(*child))).otherwise(F.array(child[0]))))
 
 
@@ -147,7 +154,7 @@ def _shared_nodes(nodes: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-    trees: int = 12, small: int = 24, levels: int = 4, most_levels: int = 40,
+    trees: int = 12, small: int = 64, levels: int = 14,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
@@ -158,10 +165,9 @@ def near_groups(
     Other columns are ignored; an empty table gives no rows.
 
     A pair at the threshold meets in one of ``trees`` nodes of the first level but for a chance of
-    (1 - percent / 100) ** trees. In the first ``levels`` levels, members are held against their node's smallest
-    id. Then nodes whose members are not all in one component branch on until they have up to ``small``
-    members, which are compared whole where they are not connected; what is larger after ``most_levels``
-    more levels is compared whole as well.
+    (1 - percent / 100) ** trees. Nodes of more than ``small`` documents branch on, up to ``levels``. On each
+    level, members are held against their node's smallest id; the last nodes are compared whole where their
+    members are not connected by then.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -191,20 +197,11 @@ def near_groups(
     first = linker.links(stars)
     group = written(components(first), "components")
 
-    # What is in one component needs no further link: only nodes of two components or more branch on, and
-    # only members of different components are compared.
-    nodes = _all(ends).select("id", *BITS, "node").join(group.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    ends = []
-    for level in range(levels + 1, levels + most_levels + 1):
-        mixed = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y")
-        members = written(nodes.join(mixed.select("node", "size"), "node"), "mixed")
-        large = members.filter(F.col("size") > small)
-        if level == levels + most_levels or large.isEmpty():
-            ends.append(members)
-            break
-        ends.append(members.filter(F.col("size") <= small))
-        nodes = _children(large.drop("size").join(reps.select("id", "path"), "id"), level, percent).drop("path")
-    last = _all(ends)
+    # What is in one component needs no further link: only members of different components are compared.
+    own = group.withColumnRenamed("component", "own")
+    nodes = _all(ends).select("id", *BITS, "node").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
+    mixed = nodes.groupBy("node").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y")
+    last = written(nodes.join(mixed.select("node"), "node", "left_semi"), "mixed")
     x, y = last.alias("x"), last.alias("y")
     near = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)) <= most_bits_apart(percent)
     met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.own") < F.col("y.own")) & near)

@@ -78,3 +78,58 @@ def trim() -> None:
     """Give freed memory back, as workers are kept for later tasks."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Compress sorted 64-bit keys by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def parts_of(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of sorted keys: parts are equal ranges of the 64-bit integers."""
+    edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    ends = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    return [(p, a, b) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+
+
+ASKED = "part int, block long, keys binary, a binary, b binary"
+ANSWERED = "part int, block long, a binary, b binary, n_keys long, sum_a long, sum_b long"
+
+
+def asked(block: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int, first: int = 0):
+    """Rows of ASKED for a block's sorted distinct keys and two counts of each."""
+    for p, i, j in parts_of(keys, parts):
+        yield {"part": first + p, "block": block, "keys": pack_sorted(keys[i:j]), "a": pack(a[i:j].astype(np.uint32)), "b": pack(b[i:j].astype(np.uint32))}
+
+
+def _totals(table):
+    import pyarrow as pa
+
+    rows = table.to_pylist()
+    keys = [unpack_sorted(r["keys"]) for r in rows]
+    counts = [[unpack(r[c], np.uint32) for r in rows] for c in "ab"]
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = [np.bincount(inverse, weights=np.concatenate(c), minlength=len(every)).astype(np.int64) for c in counts]
+    del inverse, counts
+    out = []
+    for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
+        at = np.searchsorted(every, k)
+        a, b = (np.minimum(t[at], 0xFFFFFFFF).astype(np.uint32) for t in totals)
+        first = i == 0
+        out.append({"part": r["part"], "block": r["block"], "a": pack(a), "b": pack(b), "n_keys": int(((totals[0] + totals[1]) > 0).sum()) * first, "sum_a": int(totals[0].sum()) * first, "sum_b": int(totals[1].sum()) * first})
+    trim()
+    kinds = [("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n_keys", pa.int64()), ("sum_a", pa.int64()), ("sum_b", pa.int64())]
+    return pa.Table.from_pylist(out, schema=pa.schema(kinds))
+
+
+def totals(requests, parts: int):
+    """Answers ANSWERED to rows of ASKED: each key's counts summed over all blocks, in the order asked.
+
+    A part is a range of keys, of which every block has about the same share, as keys are hashes. Its first
+    answer has the part's number of keys with a count and the sums of counts.
+    """
+    return requests.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_totals, ANSWERED)

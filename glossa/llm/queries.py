@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, quality, url_filter
+from . import bpe, exact_dedup, language_id, language_model, mixing, near_dedup, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op3_quality": quality.op3_quality,
+        "op4_language_model": language_model.op4_language_model,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_language_id": language_id.op7_language_id,
         "op8_near_dedup": near_dedup.op8_near_dedup,

@@ -154,7 +154,7 @@ def _shared_nodes(nodes: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-    trees: int = 12, small: int = 64, levels: int = 14,
+    trees: int = 12, small: int = 40, levels: int = 16,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, language_model, mixing, near_dedup, quality, url_filter
+from . import bpe, exact_dedup, language_id, language_model, mixing, near_dedup, quality, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_language_model": language_model.op4_language_model,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_language_id": language_id.op7_language_id,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -231,12 +231,16 @@ def decode(encoded: DataFrame, vocab_json: str, id_col: str = "doc_id", ids_col:
     return rows.join(joined, "row", "left").select(F.col("id").alias(id_col), F.coalesce(text, F.lit("")).alias("decoded"))
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, read on the driver; executors get its text."""
     import public_tokenizers
 
-    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
-        vocab = f.read()
-    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab)
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
     return out.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

@@ -29,7 +29,7 @@ def _codes(buf: np.ndarray, n: int) -> np.ndarray:
     x = np.zeros(len(buf), np.uint32)
     for i in range(n):
         part = np.zeros(len(buf), np.uint32)
-        part[: len(buf) - i] = buf[i:]
+        part[: max(0, len(buf) - i)] = buf[i:]
         x = (x << np.uint32(8)) | part
     return x if n <= 2 else (x * np.uint32(2654435761)) >> np.uint32(16)
 
@@ -172,3 +172,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, train(docs, crc_mod("doc_id", 4) == 2))
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def filter_known(docs: DataFrame, model: Model | None, least: float = 0.25, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a letter and a language with a score of ``least`` or more.
+
+    Without a model only texts that are null or without a letter go.
+    """
+    rows = docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    if model is None:
+        return rows
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                some = batch.slice(i, BATCH)
+                texts = [t.encode() for t in some.column(at).to_pylist()]
+                best = np.concatenate([shared.value.scores([t]).max(axis=1) for t in texts]) if sum(map(len, texts)) > 8 << 20 else shared.value.scores(texts).max(axis=1)
+                yield some.filter(pa.array(best >= least))
+        trim()
+
+    return rows.mapInArrow(run, docs.schema)

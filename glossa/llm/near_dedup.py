@@ -178,20 +178,22 @@ def near_groups(
     reps = rows.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = written(reps.select("id", *BITS, "path"), "reps")
 
-    nodes = reps.select("id", *BITS, "path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit("tree"), t, F.element_at("path", t + 1)))).alias("node"))
+    nodes = reps.select("id", *BITS, "path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit("tree"), t, F.element_at("path", t + 1)))).alias("node")).drop("path")
     apart = F.expr(" + ".join(f"bit_count({b} ^ head_{b})" for b in BITS)) <= most_bits_apart(percent)
     ends, pairs = [], []
     for level in range(1, levels + 1):
-        members = written(_shared_nodes(nodes.select("id", *BITS, "node")), "nodes")
+        members = written(_shared_nodes(nodes), "nodes")
         stars = members.filter("id <> head").select("id", *BITS, "head").distinct()
         heads = reps.select(F.col("id").alias("head"), *[F.col(b).alias(f"head_{b}") for b in BITS])
         pairs.append(written(stars.join(heads, "head").filter(apart).select(F.col("head").alias("a"), F.col("id").alias("b")), "stars"))
         large = members.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
-            ends.append(members)
+            ends.append(members.select("id", *BITS, "node"))
             break
-        ends.append(members.filter(F.col("size") <= small))
-        nodes = _children(large.select("id", *BITS, "node").join(reps.select("id", "path"), "id"), level, percent)
+        ends.append(members.filter(F.col("size") <= small).select("id", *BITS, "node"))
+        if level == 1:  # from here on, members are few enough to carry their paths
+            large = large.join(reps.select("id", "path"), "id")
+        nodes = _children(large.select("id", *BITS, "path", "node"), level, percent)
     linker = Linker(docs, k, percent)
     stars = written(_all(pairs).distinct(), "stars")
     first = linker.links(stars)
@@ -199,7 +201,7 @@ def near_groups(
 
     # What is in one component needs no further link: only members of different components are compared.
     own = group.withColumnRenamed("component", "own")
-    nodes = _all(ends).select("id", *BITS, "node").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
+    nodes = _all(ends).join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
     mixed = nodes.groupBy("node").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y")
     last = written(nodes.join(mixed.select("node"), "node", "left_semi"), "mixed")
     x, y = last.alias("x"), last.alias("y")

@@ -194,7 +194,7 @@ def encode(docs: DataFrame, vocab_json: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = n_parts(text_bytes(docs))
+    parts = n_parts(text_bytes(docs), 8 << 20)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, "blocks")
     table = path.rpartition("/")[2].replace("-", "_")

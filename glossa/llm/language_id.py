@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .hashing import chunks
+from .hashing import CHUNK_BYTES, chunks
 from .packing import trim
 from .shared import bounded_sample, crc_mod
 
@@ -121,7 +121,7 @@ def train(docs: DataFrame, held_out: Column, per_language: int = 400, id_col: st
 
 def _scored(model, kind):
     def run(batches):
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, CHUNK_BYTES // 2):
             for i in range(0, len(ids), BATCH):
                 s = model.value.scores(texts[i : i + BATCH])
                 best = s.argmax(axis=1)
@@ -188,9 +188,10 @@ def filter_known(docs: DataFrame, model: Model | None, least: float = 0.25, text
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 some = batch.slice(i, BATCH)
-                texts = [t.encode() for t in some.column(at).to_pylist()]
-                best = np.concatenate([shared.value.scores([t]).max(axis=1) for t in texts]) if sum(map(len, texts)) > 8 << 20 else shared.value.scores(texts).max(axis=1)
+                texts = pa.RecordBatch.from_arrays([pa.array(range(len(some))), some.column(at)], names=["id", "text"])
+                best = np.concatenate([shared.value.scores(t).max(axis=1) for _, t in chunks([texts], CHUNK_BYTES // 2)])
                 yield some.filter(pa.array(best >= least))
-        trim()
+            del batch, some, texts
+            trim()
 
     return rows.mapInArrow(run, docs.schema)

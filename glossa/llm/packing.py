@@ -11,14 +11,15 @@ import contextlib
 import ctypes
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 
 
-def n_parts(n_bytes: int) -> int:
-    return max(1, -(-n_bytes // PART_BYTES))
+def n_parts(n_bytes: int, part_bytes: int = PART_BYTES) -> int:
+    return max(1, -(-n_bytes // part_bytes))
 
 
 def pack(a: np.ndarray, level: int = 3) -> bytes:
@@ -76,6 +77,7 @@ def blocks(batches, limit: int = BLOCK_BYTES):
 
 def trim() -> None:
     """Give freed memory back, as workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -107,8 +109,6 @@ def asked(block: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int
 
 
 def _totals(table):
-    import pyarrow as pa
-
     rows = table.to_pylist()
     keys = [unpack_sorted(r["keys"]) for r in rows]
     counts = [[unpack(r[c], np.uint32) for r in rows] for c in "ab"]

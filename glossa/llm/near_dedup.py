@@ -24,7 +24,7 @@ from .shared import components, join_groups, semi_by_id, written
 
 N_MINIMA = 256  # a bit of each is kept
 BITS = [f"b{i}" for i in range(N_MINIMA // 64)]
-BRANCHING = 3  # levels in which nodes may choose two positions
+BRANCHING = 2  # levels in which nodes may choose two positions
 N_PATH = 32  # of which so many are kept whole, to choose paths by
 
 

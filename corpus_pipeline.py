@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from glossa.llm.shared import semi_by_id, written
+from glossa.llm.shared import written
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept. Most are, so their ids grow with the input and are never broadcast."""
+    return docs.join(written(kept.select("doc_id").distinct(), "kept").hint("merge"), "doc_id", "left_semi")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +22,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal text but for white space. Rows without doc_id can't be named and go."""
     kept = exact_dedup.dedup(docs).filter("kept")
-    return semi_by_id(docs, written(kept.select("doc_id").distinct(), "kept"), "doc_id")
+    return _only(docs, kept)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by sets of five-word shingles with a similarity of 0.8 or more."""
     kept = near_dedup.near_groups(docs, k=5, percent=80).filter("kept")
-    return semi_by_id(docs, written(kept.select("doc_id").distinct(), "kept"), "doc_id")
+    return _only(docs, kept)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

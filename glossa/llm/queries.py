@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, language_model, mixing, near_dedup, quality, substring_dedup, url_filter
+from . import bpe, exact_dedup, language_id, language_model, mixing, near_dedup, quality, substring_dedup, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_topk_search": topk.op2_topk_search,
         "op3_quality": quality.op3_quality,
         "op4_language_model": language_model.op4_language_model,
         "op5_url_filter": url_filter.op5_url_filter,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk_search": topk.OP2_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SEGMENTS, BITS = 4, 16
 BLOCK = 1 << 16
 QUERIES = 512
@@ -108,8 +110,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     all returned. Rows that repeat an id are vectors of their own. Other columns are ignored; empty tables
     give no rows.
     """
-    base = codes(vectors, id_col, vec_col).mapInArrow(_blocks(block), "ids binary, codes binary")
-    asked = codes(queries, id_col, vec_col).mapInArrow(_blocks(QUERIES), "q_ids binary, q_codes binary".replace("q_", "")).toDF("q_ids", "q_codes")
+    base = written(codes(vectors, id_col, vec_col).mapInArrow(_blocks(block), "ids binary, codes binary"), "codes")
+    asked = written(codes(queries, id_col, vec_col).mapInArrow(_blocks(QUERIES), "ids binary, codes binary"), "queries").toDF("q_ids", "q_codes")
     met = base.crossJoin(asked).mapInArrow(_search(k), "query_id long, distance long, id long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "distance")

@@ -109,13 +109,12 @@ def _confirm(percent: int, id_type):
 
 
 class Linker:
-    """Confirms pairs of ids on full sets, made from the texts of the ids that pairs name."""
+    """Confirms written, distinct pairs of ids on full sets, made from the texts of the ids that pairs name."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs, k, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
         kind, id_type = self.docs.schema["id"].dataType.simpleString(), to_arrow_type(self.docs.schema["id"].dataType)
         ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
         texts = semi_by_id(self.docs.select("id", "text"), ids, "id")
@@ -147,8 +146,8 @@ def _children(nodes: DataFrame, level: int, percent: int) -> DataFrame:
 
 
 def _shared_nodes(nodes: DataFrame) -> DataFrame:
-    """Members of nodes with two documents or more, with the node's size and smallest id."""
-    heads = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("head")).filter("size > 1")
+    """Members of nodes with two documents or more, with the node's size and the id and sketch of its smallest id."""
+    heads = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("id", *BITS)).alias("head")).filter("size > 1")
     return nodes.join(heads, "node")
 
 
@@ -179,13 +178,11 @@ def near_groups(
     reps = written(reps.select("id", *BITS, "path"), "reps")
 
     nodes = reps.select("id", *BITS, "path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit("tree"), t, F.element_at("path", t + 1)))).alias("node")).drop("path")
-    apart = F.expr(" + ".join(f"bit_count({b} ^ head_{b})" for b in BITS)) <= most_bits_apart(percent)
+    alike = F.expr(" + ".join(f"bit_count({b} ^ head.{b})" for b in BITS)) <= most_bits_apart(percent)
     ends, pairs = [], []
     for level in range(1, levels + 1):
         members = written(_shared_nodes(nodes), "nodes")
-        stars = members.filter("id <> head").select("id", *BITS, "head").distinct()
-        heads = reps.select(F.col("id").alias("head"), *[F.col(b).alias(f"head_{b}") for b in BITS])
-        pairs.append(written(stars.join(heads, "head").filter(apart).select(F.col("head").alias("a"), F.col("id").alias("b")), "stars"))
+        pairs.append(members.filter((F.col("id") != F.col("head.id")) & alike).select(F.col("head.id").alias("a"), F.col("id").alias("b")))
         large = members.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
             ends.append(members.select("id", *BITS, "node"))
@@ -208,8 +205,7 @@ def near_groups(
     near = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)) <= most_bits_apart(percent)
     met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.own") < F.col("y.own")) & near)
     more = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = first.unionByName(linker.links(more))
-    group = components(links)
+    group = components(group.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linker.links(written(more, "pairs"))))
 
     classes = classes.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, "size", F.coalesce("component", "rep").alias("component"))
     full = rows.filter("n > 0").select("id", *key)

@@ -44,7 +44,8 @@ def class_scores(vectors: DataFrame, label, beta: float, vec: str = "vec", label
     w = vectors.withColumn("_weight", F.when(anchor, anchor_weight).otherwise(1) if anchor is not None else F.lit(1))
     both = centroid(w.withColumn("_own", F.col(label_col) == label), ["_own"], vec, "_weight")
     pair = both.agg(F.max(F.when(F.col("_own"), F.col("centroid"))).alias("_p"), F.max(F.when(~F.col("_own"), F.col("centroid"))).alias("_n"))
-    return vectors.crossJoin(F.broadcast(pair)).withColumn("score", cosine(F.col(vec), contrast(F.col("_p"), F.col("_n"), beta))).drop("_p", "_n")
+    aim = pair.select(contrast(F.col("_p"), F.col("_n"), beta)).scalar()
+    return vectors.withColumn("_aim", aim).withColumn("score", cosine(F.col(vec), F.col("_aim"))).drop("_aim")
 
 
 def fetch(words: DataFrame, vectors: DataFrame, dim: int, word: str = "word", vec: str = "vec") -> DataFrame:

@@ -208,7 +208,7 @@ def per_class(matrix: DataFrame) -> DataFrame:
     """From (actual, predicted, cnt): tp, fp, fn, tn, precision, recall, f1, balanced_accuracy (one against the rest), mcc, support."""
     rows = matrix.groupBy(F.col("actual").alias("label")).agg(F.sum("cnt").alias("r"), F.lit(0).cast("long").alias("c"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("cnt")).otherwise(0)).alias("tp"))
     cols = matrix.groupBy(F.col("predicted").alias("label")).agg(F.lit(0).cast("long").alias("r"), F.sum("cnt").alias("c"), F.lit(0).cast("long").alias("tp"))
-    m = rows.unionByName(cols).groupBy("label").agg(*[F.sum(x).alias(x) for x in ("r", "c", "tp")]).crossJoin(F.broadcast(matrix.agg(F.sum("cnt").alias("n"))))
+    m = rows.unionByName(cols).groupBy("label").agg(*[F.sum(x).alias(x) for x in ("r", "c", "tp")]).withColumn("n", matrix.agg(F.sum("cnt")).scalar())
     m = m.select("label", "tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("r") - F.col("tp")).alias("fn"), (F.col("n") - F.col("r") - F.col("c") + F.col("tp")).alias("tn"), F.col("r").alias("support"))
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     p, r = _over(tp, tp + fp), _over(tp, tp + fn)

@@ -75,15 +75,14 @@ def permutation_importance(model, rows: DataFrame, columns: list[str], label: st
         p = model.transform(df).select(F.col(label).cast("double").alias("a"), F.col("prediction").alias("p"))
         return overall(confusion(p, "a", "p")).select("accuracy", "weighted_f1", "balanced_accuracy")
 
-    whole = measure(rows)
+    whole = measure(rows).select(F.struct("*")).scalar()
     out = []
     for c in columns:
         g = rows.withColumn("_g", group)
         to = g.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(key))).drop(c)
         dealt = g.select("_g", F.col(c), F.row_number().over(Window.partitionBy("_g").orderBy(hash_order(F.col(key), seed))).alias("_r"))
         got = measure(to.join(dealt, ["_g", "_r"]).drop("_g", "_r"))
-        both = got.select(*[F.col(x).alias(f"n_{x}") for x in got.columns]).crossJoin(whole)
-        out.append(both.select(F.lit(c).alias("feature"), *[(F.col(x) - F.col(f"n_{x}")).alias(x) for x in got.columns]))
+        out.append(got.withColumn("_w", whole).select(F.lit(c).alias("feature"), *[(F.col("_w")[x] - F.col(x)).alias(x) for x in got.columns]))
     return union_all(out)
 
 

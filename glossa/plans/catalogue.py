@@ -279,7 +279,7 @@ def pattern_count(spark, d):
 
 
 def doc_patterns(spark, d):
-    """The tags of each document's first to third words, the document its ordinal."""
+    """The tags of each document's first one to five words, the document its ordinal."""
     some = doc_words(spark, d).filter(F.col("pos") <= F.col("doc_id") % 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", op.penn(F.col("word")).alias("t")))).alias("x"))
     return some.select(F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("pattern"), F.col("doc_id").alias("ordinal"))
 
@@ -408,8 +408,8 @@ def class_score(spark, d):
 @query(ex() + ", a AS (SELECT i, x AS y FROM ex WHERE vec_id = 0) SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS similarity FROM ex JOIN a USING (i) GROUP BY vec_id")
 def anchor_similarity(spark, d):
     x = vecs(spark, d)
-    anchor = x.filter("vec_id = 0").select(F.col("vec").alias("anchor"))
-    return x.crossJoin(F.broadcast(anchor)).select("vec_id", F.round(v.cosine(F.col("vec"), F.col("anchor")), 6).alias("similarity"))
+    anchor = x.filter("vec_id = 0").select("vec").scalar()  # a second anchor would be an error
+    return x.withColumn("anchor", anchor).select("vec_id", F.round(v.cosine(F.col("vec"), F.col("anchor")), 6).alias("similarity"))
 
 
 @query(ex() + """, m AS (SELECT label, sqrt(sum(m * m)) AS norm FROM (SELECT label, i, avg(x) AS m FROM ex GROUP BY ALL) GROUP BY label)

@@ -62,15 +62,18 @@ def split_by_frequency(costs: dict[str, float], unknown: float = 12.0) -> Callab
 
 def consonant_vowel_ratio(word: Column) -> Column:
     low = F.lower(word)
-    consonants = F.length(F.regexp_replace(low, r"[aeiou]|[^\p{L}]", ""))
-    vowels = F.length(F.regexp_replace(low, r"[^aeiou]", ""))
+    vowels = F.length(low) - F.length(F.translate(low, "aeiou", ""))
+    # most words are letters alone, of which only the others are looked at one by one
+    letters = F.when(low.rlike(r"[^\p{L}]"), F.length(F.regexp_replace(low, r"[^\p{L}]", ""))).otherwise(F.length(low))
+    consonants = letters - vowels
     return F.when(vowels > 0, consonants / vowels).otherwise(0.0)
 
 
 def ratio_bucket(words: Column) -> Column:
     """Bucket of the mean ratio over words of letters alone; a word without vowels counts as very high."""
     letters = F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))
-    each = F.transform(letters, lambda w: F.length(F.regexp_replace(F.lower(w), "[aeiou]", "")) / (F.length(F.regexp_replace(F.lower(w), "[^aeiou]", "")) + F.lit(1e-5)))
+    others = lambda w: F.length(F.translate(F.lower(w), "aeiou", ""))
+    each = F.transform(letters, lambda w: others(w) / (F.length(F.lower(w)) - others(w) + F.lit(1e-5)))
     mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(letters)
     return F.when(F.size(letters) == 0, "@cvr_none").otherwise(F.when(mean < 1.5, "@cvr_low").when(mean < 3.0, "@cvr_mid").otherwise("@cvr_high"))
 

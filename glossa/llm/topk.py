@@ -96,8 +96,8 @@ def _search(k: int):
             for r in batch.to_pylist():
                 if held[0] != r["ids"]:
                     held = (r["ids"], Index(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint64)))
-                out = [(q, d, i) for q, c in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), np.frombuffer(r["q_codes"], np.uint64), strict=True) for d, i in held[1].search(c, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "distance", "id"])
+                out = [(q, int(c.view(np.int64)), d, i) for q, c in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), np.frombuffer(r["q_codes"], np.uint64), strict=True) for d, i in held[1].search(c, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "query_code", "distance", "id"])
 
     return run
 
@@ -107,13 +107,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Columns query_id, rank (from 1), the id, distance. A query that is among the vectors meets itself. Rows
     without id or with a vector of another length or with nulls take no part; fewer than ``k`` vectors are
-    all returned. Rows that repeat an id are vectors of their own. Other columns are ignored; empty tables
-    give no rows.
+    all returned. Rows that repeat an id are vectors of their own; queries that repeat id and code are one,
+    and with another code they are ranked apart. Other columns are ignored; empty tables give no rows.
     """
     base = written(codes(vectors, id_col, vec_col).mapInArrow(_blocks(block), "ids binary, codes binary"), "codes")
-    asked = written(codes(queries, id_col, vec_col).mapInArrow(_blocks(QUERIES), "ids binary, codes binary"), "queries").toDF("q_ids", "q_codes")
-    met = base.crossJoin(asked).mapInArrow(_search(k), "query_id long, distance long, id long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    asked = written(codes(queries, id_col, vec_col).distinct().mapInArrow(_blocks(QUERIES), "ids binary, codes binary"), "queries").toDF("q_ids", "q_codes")
+    met = base.crossJoin(asked).mapInArrow(_search(k), "query_id long, query_code long, distance long, id long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_code").orderBy("distance", "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 

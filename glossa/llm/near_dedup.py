@@ -1,11 +1,11 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 Documents with equal shingle sets form a class with one representative. In each of several independent
-trees, every node chooses a minwise position (sometimes two) and deals its documents to children by the
-minimum that they have there, so that similar documents keep together. All members of a node are first held
-against its smallest id; large nodes branch on, and small ones are compared exhaustively where their members
-are not connected by then. Links are confirmed on the full sets, and documents that links
-connect are one group.
+trees, documents with the same minimum at the tree's position share a node. All members of a node are first
+held against its smallest id, and large nodes are divided further only so that more documents are held
+against a smallest id that is like them. Then every node of the first level whose members are not all
+connected is compared whole, in blocks: what a division parts is still compared. Links are confirmed on the
+full sets, and documents that links connect are one group.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .shared import components, join_groups, semi_by_id, written
 
 N_MINIMA = 256  # a bit of each is kept
 BITS = [f"b{i}" for i in range(N_MINIMA // 64)]
-BRANCHING = 2  # levels in which nodes may choose two positions
+BLOCK = 1024  # members of a node that are compared with as many others at once
 N_PATH = 32  # of which so many are kept whole, to choose paths by
 
 
@@ -129,20 +129,14 @@ def most_bits_apart(percent: int) -> int:
     return math.ceil(N_MINIMA * p + 5 * math.sqrt(N_MINIMA * p * (1 - p)))
 
 
-def _children(nodes: DataFrame, level: int, percent: int) -> DataFrame:
-    """A node's documents by the minimum at a position that the node chooses.
+def _children(nodes: DataFrame, level: int) -> DataFrame:
+    """A node's documents by their minima at two positions that the node chooses.
 
-    In the first levels a node may choose two positions, so that a pair at the threshold is expected to stay
-    together in one child. Nodes that are large even then hold many documents much more alike than that,
-    whose memberships would multiply: they choose one pair of positions a level.
+    Similar documents may be parted here, which costs no link: nodes of the first level are compared whole.
     """
     at = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(N_PATH)) for i in (0, 1)]
     value = [F.element_at("path", (p + 1).cast("int")) for p in at]
-    if level > BRANCHING:
-        return nodes.withColumn("node", F.xxhash64("node", F.lit(level), *at, *value))
-    child = [F.xxhash64("node", F.lit(level), F.lit(i), at[i], value[i]) for i in (0, 1)]
-    more = F.pmod(F.xxhash64(F.lit("more"), "node"), F.lit(1000)) < int(1000 * (100 / percent - 1))
-    return nodes.withColumn("node", F.explode(F.when(more, F.array_distinct(F.array(*child))).otherwise(F.array(child[0]))))
+    return nodes.withColumn("node", F.xxhash64("node", F.lit(level), *at, *value))
 
 
 def _shared_nodes(nodes: DataFrame) -> DataFrame:
@@ -151,6 +145,14 @@ def _shared_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(heads, "node")
 
 
+def _cells(nodes: DataFrame) -> DataFrame:
+    """Members of nodes in blocks of about ``BLOCK``, once for each pair (row, col) of blocks that theirs is in."""
+    nodes = nodes.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), "blocks"))
+    other = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return other.select("id", "n", *BITS, "tree", "firsts", "node", "own", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))
+
+
 def near_groups(
     docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
     trees: int = 12, small: int = 40, levels: int = 16,
@@ -164,9 +166,9 @@ def near_groups(
     Other columns are ignored; an empty table gives no rows.
 
     A pair at the threshold meets in one of ``trees`` nodes of the first level but for a chance of
-    (1 - percent / 100) ** trees. Nodes of more than ``small`` documents branch on, up to ``levels``. On each
-    level, members are held against their node's smallest id; the last nodes are compared whole where their
-    members are not connected by then.
+    (1 - percent / 100) ** trees, and all of a node's members that are not connected by then are compared.
+    Before that, members are held against their node's smallest id, and nodes of more than ``small``
+    documents are divided for it again, up to ``levels``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -175,22 +177,23 @@ def near_groups(
     key = ["n", "s1", "s2"]
     classes = written(rows.filter("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     reps = rows.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = written(reps.select("id", *BITS, "path"), "reps")
+    reps = written(reps.select("id", "n", *BITS, "path"), "reps")
 
-    nodes = reps.select("id", *BITS, "path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit("tree"), t, F.element_at("path", t + 1)))).alias("node")).drop("path")
+    nodes = reps.select("id", "n", *BITS, "path", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    nodes = nodes.withColumn("node", F.xxhash64(F.lit("tree"), "tree", F.element_at("path", F.col("tree") + 1))).drop("path")
     alike = F.expr(" + ".join(f"bit_count({b} ^ head.{b})" for b in BITS)) <= most_bits_apart(percent)
-    ends, pairs = [], []
+    pairs = []
     for level in range(1, levels + 1):
         members = written(_shared_nodes(nodes), "nodes")
         pairs.append(members.filter((F.col("id") != F.col("head.id")) & alike).select(F.col("head.id").alias("a"), F.col("id").alias("b")))
+        if level == 1:
+            whole = members.select("id", "n", *BITS, "tree", "node")
         large = members.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
-            ends.append(members.select("id", *BITS, "node"))
             break
-        ends.append(members.filter(F.col("size") <= small).select("id", *BITS, "node"))
         if level == 1:  # from here on, members are few enough to carry their paths
             large = large.join(reps.select("id", "path"), "id")
-        nodes = _children(large.select("id", *BITS, "path", "node"), level, percent)
+        nodes = _children(large.select("id", *BITS, "path", "node"), level)
     linker = Linker(docs, k, percent)
     stars = written(_all(pairs).distinct(), "stars")
     first = linker.links(stars)
@@ -198,12 +201,18 @@ def near_groups(
 
     # What is in one component needs no further link: only members of different components are compared.
     own = group.withColumnRenamed("component", "own")
-    nodes = _all(ends).join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
-    mixed = nodes.groupBy("node").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y")
-    last = written(nodes.join(mixed.select("node"), "node", "left_semi"), "mixed")
+    nodes = whole.join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
+    mixed = nodes.groupBy("node").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("members")).filter("x <> y")
+    last = nodes.join(mixed.select("node", "members"), "node").join(reps.select("id", F.slice("path", 1, trees).alias("firsts")), "id")
+    last = written(_cells(last), "mixed")
     x, y = last.alias("x"), last.alias("y")
     near = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)) <= most_bits_apart(percent)
-    met = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.own") < F.col("y.own")) & near)
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")  # else the sets can't be alike enough
+    once = (F.col("x.block") != F.col("y.block")) | (F.col("x.row") == F.col("x.col"))
+    at = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("node", "row", "col")]
+    # A pair counts in the first tree in which it shares a node; that node holds both components, so it is here.
+    first = [(F.col("x.tree") <= t) | (F.col("x.firsts")[t] != F.col("y.firsts")[t]) for t in range(trees - 1)]
+    met = x.join(y, [*at, F.col("x.own") < F.col("y.own"), once, sizes, near, *first])
     more = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     group = components(group.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linker.links(written(more, "pairs"))))
 

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 
+import corpus_pipeline
 from glossa.llm import near_dedup
 
 
@@ -53,3 +54,11 @@ def test_nodes_of_several_blocks(spark, monkeypatch):
     texts = family(150, 12, 2)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs).collect()} == groups(texts, 3, 85)
+
+
+def test_stage_keeps_one_of_each_pair_in_a_large_family(spark):
+    texts = family(300, 16, 3)
+    want = groups(texts, 5, 80)
+    assert len(set(want.values())) == 300
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()} == set(want.values())

@@ -466,7 +466,8 @@ def prefix_similarity(spark, d):
 def viterbi_decode(spark, d):
     from ..operators.models import viterbi
 
-    emissions = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform(F.slice("vec", i * 10 + 1, 10), lambda x: x.cast("double")))
+    whole = F.concat(F.transform("vec", lambda x: x.cast("double")), F.array_repeat(F.lit(float("-inf")), 6))  # 64 components fill six steps and four tags of a seventh
+    emissions = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.slice(whole, i * 10 + 1, 10))
     path = viterbi(10)(emissions)
     return vecs(spark, d).select("vec_id", F.array_join(w.decode_labels(path, lx.TAGS), " ").alias("tags"))
 
@@ -484,6 +485,6 @@ def ml_tagger(spark, d):
 def permutation_importance(spark, d):
     from ..operators.models import fit_tagger, permutation_importance
 
-    rows = vecs(spark, d).withColumns({f"x{i}": F.col("vec")[i] for i in range(4)}).drop("vec").withColumnRenamed("vec_id", "id")
-    columns = [f"x{i}" for i in range(4)]
+    rows = vecs(spark, d).withColumns({f"x{i}": F.col("vec")[i] for i in range(64)}).drop("vec").withColumnRenamed("vec_id", "id")
+    columns = [f"x{i}" for i in range(64)]
     return permutation_importance(fit_tagger(rows, "dt", columns), rows, columns, "label", "id")

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every copy of a document gets a virtual finish time, the words its source has handed out so far divided by
-the source's target. All copies are sorted by it and taken until the total budget is spent.
+the source's target. All copies are range-sorted by it, and taken until the total budget is spent: sums of
+ranges tell in which one that is, and only there are running sums made.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 ROWS_A_BIN = 4096
+ROWS_A_RANGE = 16384
+MOST_RANGES = 20_000
 
 
 def targets(sizes: list[tuple], weights=WEIGHTS, share: float = 1.0, repeats: int = REPEATS) -> dict:
@@ -69,17 +72,21 @@ def _running(rows: DataFrame, group: list[str], order: list[str], size: str, n_b
     return out.withColumn("cum", F.col("before") + F.col("within")).drop("before", "within", "bin")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeats: int = REPEATS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeats: int = REPEATS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken (words that the mix takes, repeats counted).
 
     Size: words of the text, 0 for null. Copies are shuffled within their source and round of repetition by
     MD5 of id, round and seed, ties by id, so reruns agree. Null sources are one source, the last. Texts
     without words are never taken; a source without words has target 0. Rows that repeat an id count as
-    documents of their own. An empty table gives no rows. Other columns are ignored.
+    documents of their own; to tell them apart, name a column without repeats or nulls as ``key_col``, which
+    comes first in the result. An empty table gives no rows. Other columns are ignored. One row a source
+    reaches the driver.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    key = [F.col(key_col).alias("row")] if key_col else []
+    rows = docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = rows if key_col else rows.withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "sizes")
+    key = [F.col("row").alias(key_col)] if key_col else []
     sums = [(r["source"], r["n"], r["k"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()]
     size = {s: n for s, n, _ in sums}
     goal = targets([(s, n) for s, n, _ in sums], weights, share, repeats)
@@ -88,21 +95,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeats: int = REP
     rounds = {s: min(repeats, int(goal[s] / size[s]) + 1) if size[s] else 0 for s in size}
     src = F.col("source")
     if not sums:
-        return rows.select(F.col("id").alias(id_col), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        return rows.select(*key, F.col("id").alias(id_col), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     copies = rows.filter("size > 0").withColumn("round", F.explode(F.sequence(F.lit(1), _lookup(rounds, src))))
     copies = copies.withColumn("shuffle", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("round"), F.lit(seed))))
     spread = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     copies = _by_source(copies, n_bins, spread)
     copies = copies.withColumn("finish", ((F.col("round") - 1) * _lookup(size, src) + F.col("cum")).cast("double") / _lookup(goal, src))
-    copies = written(copies.select("row", "id", "source", "size", "round", "finish"), "copies")
-    low, high, before = _cut(copies, budget)
-    edge = copies.filter((F.col("finish") >= low) & (F.col("finish") < high))
-    last = Window.partitionBy(F.lit(0)).orderBy("finish", F.col("source").asc_nulls_last(), "round", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("run", F.sum("size").over(last) + before).filter(F.col("run") <= budget)
-    won = copies.filter(F.col("finish") < low).select("row", "size").unionByName(edge.select("row", "size"))
+    won = _truncated(copies.select("row", "id", "source", "size", "round", "finish"), sum(rounds[x] * k for x, _, k in sums), budget)
     taken = won.groupBy("row").agg(F.sum("size").alias("taken"))
     return rows.join(taken, "row", "left").select(
-        F.col("id").alias(id_col), "size", _lookup(size, src).cast("long").alias("source_size"),
+        *key, F.col("id").alias(id_col), "size", _lookup(size, src).cast("long").alias("source_size"),
         _lookup(goal, src).cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
     )
 
@@ -113,29 +115,26 @@ def _by_source(copies: DataFrame, n_bins: int, spread: Column) -> DataFrame:
     return _running(keyed, ["key", "round"], ["shuffle", "id", "row"], "size", n_bins, spread).drop("key")
 
 
-def _cut(copies: DataFrame, budget: float, slots: int = 1024) -> tuple[float, float, int]:
-    """The narrow range of finish times in which the budget runs out, and the words taken before it.
+def _truncated(copies: DataFrame, total: int, budget: float) -> DataFrame:
+    """The first of all copies by finish time whose sizes add up to the budget at most.
 
-    The range is cut into slots whose sums alone reach the driver, and the slot of the cut is cut again,
-    until it holds few copies or can't be cut further.
+    Copies are dealt by ranges of the whole order, which no two share, so that no value can fill a range
+    alone. A row a range reaches the driver.
     """
-    low, high, before = 0.0, copies.agg(F.max("finish")).first()[0] or 0.0, 0
-    high = high * (1 + 1e-9) + 1e-9
-    while True:
-        width = (high - low) / slots
-        inside = copies.filter((F.col("finish") >= low) & (F.col("finish") < high))
-        sums = inside.groupBy(F.least(F.floor((F.col("finish") - low) / width), F.lit(slots - 1)).alias("slot")).agg(F.sum("size").alias("n"), F.count("*").alias("k"), F.min("finish").alias("a"))
-        sums = sorted(tuple(r) for r in sums.collect())
-        for i, (_, n, k, a) in enumerate(sums):
-            if before + n > budget:
-                last = i + 1 == len(sums)
-                low, high = a, high if last else sums[i + 1][3]
-                break
-            before += n
-        else:
-            return high, high, before
-        if k <= ROWS_A_BIN or (high - low) / slots <= low * 1e-15:
-            return low, high, before
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("round"), F.col("id"), F.col("row")]
+    n = max(1, min(MOST_RANGES, -(-total // ROWS_A_RANGE)))
+    ranged = written(copies.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranged")
+    before, last = 0, None
+    for r in sorted(ranged.groupBy("range").agg(F.sum("size").alias("n")).collect()):
+        if before + r["n"] > budget:
+            last = r["range"]
+            break
+        before += r["n"]
+    if last is None:
+        return ranged.select("row", "size")
+    run = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    edge = ranged.filter(F.col("range") == last).withColumn("run", run + before).filter(F.col("run") <= budget)
+    return ranged.filter(F.col("range") < last).select("row", "size").unionByName(edge.select("row", "size"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

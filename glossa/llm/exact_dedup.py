@@ -24,7 +24,8 @@ class DigestIndex:
     """A table (digest, keep_id, group_size), bucketed and sorted by digest, kept under ``path``.
 
     New data is reduced to one entry a digest, sort-merge anti-joined with the index and appended. As the
-    table is bucketed by its join key, neither join shuffles the index.
+    table is bucketed by its join key, neither join shuffles the index. A path that holds an index is opened
+    as it is, in another session too, with the number of buckets that it was made with.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None, buckets: int | None = None, id_type: str = "bigint"):
@@ -40,32 +41,36 @@ class DigestIndex:
     def frame(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, entries: DataFrame) -> None:
-        """Add the entries whose digest the index lacks."""
+    def append(self, entries: DataFrame) -> DataFrame:
+        """Add the entries whose digest the index lacks; gives all entries back, written."""
         entries = written(entries, "digest-new")  # else the anti-join is moved below the aggregate, before rows of a digest are one
         new = entries.join(self.frame().select("digest").hint("merge"), "digest", "left_anti")
         cols = ("digest", "keep_id", "group_size")
         new.select(*cols).repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
+        return entries
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size (rows of the batch that made the index entry), kept, text_sha256.
 
-    Of equal texts the one with the most code points stays, then the smallest id; a null id comes last. Rows
-    that repeat id and text alike can't be told apart and are marked alike. Null and empty texts are one
+    Of equal texts the one with the most code points stays, then the smallest ``order_col`` if one is named,
+    then the smallest id; nulls come last. Rows that repeat id and text alike can't be told apart and are
+    marked alike, unless a column without repeats is named as id. Null and empty texts are one
     group. Against a filled index, a text that it holds is dropped in favour of the id that came first. An
     empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
+    rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), F.col(order_col or id_col).alias("order"))
     rows = written(rows, "digests")
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("order").isNull().alias("last"), "order", F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     entries = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), "group_size")
     if index is None:
         index = DigestIndex(spark, id_type=rows.schema["id"].dataType.simpleString())
-    index.append(entries)
-    found = join_groups(rows, index.frame(), ["digest"], "group_size", rows.count())
+    entries = index.append(entries)
+    # which digests are hot is a matter of this batch, whatever the batch that made their entry
+    here = entries.select("digest", F.col("group_size").alias("rows")).join(index.frame().hint("merge"), "digest")
+    found = join_groups(rows, here, ["digest"], "rows", rows.count())
     return found.select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -105,7 +105,7 @@ class Block:
         rows = sorted(answers, key=lambda r: r["part"])
         for kind, what in enumerate(("name_counts", "pair_counts")):
             own = [r for r in rows if r["part"] // parts == kind]
-            setattr(self, what, tuple(np.concatenate([unpack(r[c], np.uint32) for r in own]).astype(np.int64) for c in "ab"))
+            setattr(self, what, tuple(np.concatenate([unpack(r[c], np.uint64) for r in own]).astype(np.int64) for c in "ab"))
 
 
 def _ask(parts: int):

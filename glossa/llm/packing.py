@@ -118,7 +118,7 @@ def _totals(table):
     out = []
     for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
         at = np.searchsorted(every, k)
-        a, b = (np.minimum(t[at], 0xFFFFFFFF).astype(np.uint32) for t in totals)
+        a, b = (t[at].astype(np.uint64) for t in totals)
         first = i == 0
         out.append({"part": r["part"], "block": r["block"], "a": pack(a), "b": pack(b), "n_keys": int(((totals[0] + totals[1]) > 0).sum()) * first, "sum_a": int(totals[0].sum()) * first, "sum_b": int(totals[1].sum()) * first})
     trim()
@@ -130,6 +130,7 @@ def totals(requests, parts: int):
     """Answers ANSWERED to rows of ASKED: each key's counts summed over all blocks, in the order asked.
 
     A part is a range of keys, of which every block has about the same share, as keys are hashes. Its first
-    answer has the part's number of keys with a count and the sums of counts.
+    answer has the part's number of keys with a count and the sums of counts. Answers are unsigned 64-bit
+    integers, whose empty upper bytes take no room packed.
     """
     return requests.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_totals, ANSWERED)

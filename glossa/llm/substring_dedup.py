@@ -1,30 +1,36 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
-
-A position's rank for a prefix length is the name of the string that begins there; the name for a doubled
-length is made of the names at the position and at the offset. Spark brings the (rank, position) pairs of a
-length together, and positions with a unique rank drop out before the next length. Two devices keep the
-number of pairs small without changing the result. Below the threshold, only the least rank in each stretch
-as long as the rest of the threshold stands for the positions that it covers: a string of the threshold's
-length that occurs twice has the same least rank in both places, so what has a unique one is settled. Past
-the threshold, ranks are sampled in the same way, and a repeated one settles all positions whose string lies
-inside, of which one occurrence stays open for others to meet. What is left goes through the length of the
-threshold itself, position by position.
+"""Removal of repeated byte strings by prefix doubling.
+
+A position's rank for a prefix length is a name of the string that begins there, and the rank for a doubled
+length is made of the ranks at the position and at the offset. Ranks are doubled inside each text. Spark
+brings the (rank, position) pairs of three lengths together, to tell which ranks are unique: a quarter of the
+threshold, twice the threshold, and the threshold itself. Positions with a unique rank drop out in between.
+Two devices keep the number of pairs small without changing the result. Below the threshold, only the least
+rank in each stretch as long as the rest of the threshold stands for the positions that it covers: a string
+of the threshold's length that occurs twice has the same least rank in both places, so what has a unique one
+is settled. Past the threshold, ranks are sampled in the same way, and a repeated one settles all positions
+whose string lies inside, of which one occurrence stays open for others to meet. What is left goes through
+the length of the threshold itself, position by position.
+
+Ranks are names, not numbers in a total order, as only their equality matters here. What settles a position
+as repeated has 96 bits or more: a name of 64 bits and a check of the bytes by another hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import BASE, BASE_INVERSE, M, TABLE, mix, powers
-from .packing import ASKED, asked, n_parts, totals, trim, unpack
-from .shared import fresh_path, semi_by_id, written
+from .packing import ASKED, asked, n_parts, pack, trim, unpack, unpack_sorted
+from .shared import fresh_path, join_groups, semi_by_id, written
 
 CHUNK = 1 << 20
+OTHER = mix(TABLE)
 SPAN, DUP = 0, 1  # what a sample settles: positions that may be repeated if it is, positions that are
 
 
@@ -71,7 +77,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _samples(text: bytes, threshold: int):
-    """(kind, name, from, to) of a text's samples."""
+    """(kind, name, check, from, to) of a text's samples; those that settle nothing as repeated have no check."""
     n = len(text)
     if n < threshold:
         return []
@@ -79,35 +85,40 @@ def _samples(text: bytes, threshold: int):
     names = ranks.of(short)
     least = _least(names, threshold - short + 1)
     a, b = _runs(least)
-    out = [(SPAN, names[least[a]], a, b)]
+    out = [(SPAN, names[least[a]], np.zeros(len(a), np.uint64), a, b)]
     if n < long:
         whole = mix(ranks.of(threshold)[:1] * M + ranks.of(threshold)[-1:] + np.uint64(n))
-        out.append((DUP, whole, np.zeros(1, np.int64), np.full(1, n - threshold)))
+        out.append((DUP, whole, _checks(text, [0], n), np.zeros(1, np.int64), np.full(1, n - threshold)))
     else:
         names, q = ranks.of(long), [0, n - long]
         if n >= long + threshold:
             q += np.unique(_least(names, threshold + 1)).tolist()
         q = np.unique(np.array(q, np.int64))
-        out.append((DUP, names[q], q, q + long - threshold))
+        out.append((DUP, names[q], _checks(text, q.tolist(), long), q, q + long - threshold))
     return out
 
 
+def _checks(text: bytes, starts: list[int], length: int) -> np.ndarray:
+    """Hashes of the bytes themselves, which share nothing with names."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(text[a : a + length]) for a in starts), np.uint64, len(starts))
+
+
 def _emit(threshold: int):
     def run(batches):
-        schema = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("name", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+        schema = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("name", pa.int64()), ("check", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             size = 0
             for i in range(batch.num_rows):
                 doc = batch.column(0)[i].as_py()
-                for kind, names, a, b in _samples(batch.column(1)[i].as_buffer().to_pybytes(), threshold):
+                for kind, names, check, a, b in _samples(batch.column(1)[i].as_buffer().to_pybytes(), threshold):
                     k = len(names)
                     size += k
-                    for x, v in zip(rows, (np.full(k, doc), np.full(k, kind, np.int32), names.view(np.int64), a.astype(np.int32), b.astype(np.int32)), strict=True):
+                    for x, v in zip(rows, (np.full(k, doc), np.full(k, kind, np.int32), names.view(np.int64), check.view(np.int64), a.astype(np.int32), b.astype(np.int32)), strict=True):
                         x.append(v)
                 if size > 50_000 or i + 1 == batch.num_rows and size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], schema=schema)
-                    rows, size = [[], [], [], [], []], 0
+                    rows, size = [[], [], [], [], [], []], 0
         trim()
 
     return run
@@ -130,14 +141,14 @@ def _spans(mask: np.ndarray) -> np.ndarray:
 
 
 def _needed(batches):
-    """Names of repeated short samples that stand for a position which no repeated long one settles."""
+    """Names of repeated short samples that stand for a position which no repeated long one settles, and how often they occur."""
     for batch in batches:
         for i in range(batch.num_rows):
             found = batch.column(0)[i].as_py()
             n = max(s["b"] for s in found) + 1
             settled = np.concatenate(([0], np.cumsum(_mask(n, [(s["a"], s["b"]) for s in found if s["kind"] == DUP]))))
-            names = [s["name"] for s in found if s["kind"] == SPAN and settled[s["b"] + 1] - settled[s["a"]] <= s["b"] - s["a"]]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())], names=["name"])
+            needed = [s for s in found if s["kind"] == SPAN and settled[s["b"] + 1] - settled[s["a"]] <= s["b"] - s["a"]]
+            yield pa.RecordBatch.from_arrays([pa.array([s[c] for s in needed], pa.int64()) for c in ("name", "n")], names=["name", "n"])
     trim()
 
 
@@ -150,15 +161,52 @@ class Open:
 
     def __init__(self, row: dict, threshold: int):
         self.texts, self.dups, self.open = row["texts"], [], []
-        names = []
+        names, checks = [], []
         for text, found in zip(self.texts, row["found"], strict=True):
             n = len(text) - threshold + 1
             dup, settled = (_mask(n, [(s["a"], s["b"]) for s in found if s["kind"] == DUP and s["use"] <= most]) for most in (1, 0))
             at = np.flatnonzero(_mask(n, [(s["a"], s["b"]) for s in found if s["kind"] == SPAN and s["use"]]) & ~settled)
             self.dups.append(dup)
             self.open.append(at)
-            names.append(Ranks(np.frombuffer(text, np.uint8)).of(threshold)[at] if len(at) else np.zeros(0, np.uint64))
-        self.names, self.of, self.times = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+            if len(at):
+                buf = np.frombuffer(text, np.uint8)
+                names.append(Ranks(buf).of(threshold)[at])
+                checks.append(_second(buf, at, threshold))
+        none = np.zeros(0, np.uint64)
+        self.names, self.checks, self.of = _distinct(np.concatenate([none, *names]), np.concatenate([none, *checks]))
+        self.times = np.bincount(self.of, minlength=len(self.names))
+
+
+def _second(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """32 bits of another hash of the strings that begin at some positions."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(OTHER[buf] * powers(BASE, len(buf)), out=sums[1:])
+    return mix((sums[at + length] - sums[at]) * powers(BASE_INVERSE, len(buf))[at]) >> np.uint64(32)
+
+
+def _distinct(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of name and check, sorted, and which of them each pair is."""
+    order = np.lexsort((checks, names))
+    x, y = names[order], checks[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    of = np.empty(len(x), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return x[new], y[new], of
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """How often each pair of name and check that a part was asked for occurs, for each payload."""
+    rows = table.to_pylist()
+    keys, times, checks = ([f(r[c]) for r in rows] for f, c in ((unpack_sorted, "keys"), (lambda x: unpack(x, np.uint32), "a"), (lambda x: unpack(x, np.uint32), "b")))
+    _, _, of = _distinct(np.concatenate(keys), np.concatenate(checks))
+    totals_of = np.bincount(of, weights=np.concatenate(times)).astype(np.uint64)[of]
+    out, done = [], 0
+    for r, k in zip(rows, keys, strict=True):
+        out.append({"part": r["part"], "block": r["block"], "a": pack(totals_of[done : done + len(k)])})
+        done += len(k)
+    trim()
+    return pa.Table.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary())]))
 
 
 def _ask(parts: int, threshold: int):
@@ -168,7 +216,7 @@ def _ask(parts: int, threshold: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 x = Open(row, threshold)
-                yield pa.RecordBatch.from_pylist(list(asked(row["block"], x.names, np.minimum(x.times, 2), np.zeros(len(x.times)), parts)), schema=schema)
+                yield pa.RecordBatch.from_pylist(list(asked(row["block"], x.names, np.minimum(x.times, 2), x.checks, parts)), schema=schema)
                 del x
                 trim()
 
@@ -208,7 +256,7 @@ def _cut(threshold: int, id_type):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 x = Open(row, threshold)
-                got = [unpack(r["a"], np.uint32) for r in sorted(row["answers"] or [], key=lambda r: r["part"])]
+                got = [unpack(r["a"], np.uint64) for r in sorted(row["answers"] or [], key=lambda r: r["part"])]
                 again = (np.concatenate(got) > 1)[x.of] if got else np.zeros(0, bool)
                 done, out = 0, []
                 for doc, text, dup, at in zip(row["ids"], x.texts, x.dups, x.open, strict=True):
@@ -232,23 +280,26 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     Each byte of the text in UTF-8 goes that is inside a string of ``threshold`` bytes which also starts
     anywhere else, in the same document or another; strings are judged on the input. Null and empty texts
     have no bytes. Rows that repeat id and text are documents of their own, and so repeat each other. Null
-    ids are kept; other columns are ignored; an empty table gives no rows. Strings are compared by 64-bit
-    names.
+    ids are kept; other columns are ignored; an empty table gives no rows. Strings are held to be equal if
+    96 bits of two hashes of them are.
     """
     if threshold % 4:
         raise ValueError("the threshold must be a multiple of 4")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("doc", F.xxhash64("id", "text"))
+    rows = written(rows.withColumn("doc", F.monotonically_increasing_id()), "texts")
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
     long = rows.filter(F.octet_length("text") >= threshold)
-    samples = written(long.select("doc", "text").mapInArrow(_emit(threshold), "doc long, kind int, name long, a int, b int"), "samples")
-    again = samples.groupBy("kind", "name").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1").drop("n")
-    rep = written(samples.join(again.hint("merge"), ["kind", "name"]).distinct(), "repeated")
-    by_doc = rep.groupBy("doc").agg(F.collect_list(F.struct("kind", "name", "a", "b")).alias("found")).select("found")
-    needed = by_doc.mapInArrow(_needed, "name long").distinct().withColumn("use", F.lit(1))
-    span = rep.filter(F.col("kind") == SPAN).join(needed.hint("merge"), "name", "left").select("doc", "kind", F.coalesce("use", F.lit(0)).alias("use"), "a", "b")
+    samples = written(long.select("doc", "text").mapInArrow(_emit(threshold), "doc long, kind int, name long, check long, a int, b int"), "samples")
+    key = ["kind", "name", "check"]
+    again = written(samples.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1"), "again")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    rep = written(join_groups(samples, again, key, "n", total).drop("check"), "repeated")
+    by_doc = rep.groupBy("doc").agg(F.collect_list(F.struct("kind", "name", "n", "a", "b")).alias("found")).select("found")
+    needed = written(by_doc.mapInArrow(_needed, "name long, n long").distinct(), "needed")
+    span = rep.filter(F.col("kind") == SPAN).select("doc", "name", "kind", "a", "b")
+    span = join_groups(span, needed, ["name"], "n", total).select("doc", "kind", F.lit(1).alias("use"), "a", "b")
     dup = rep.filter(F.col("kind") == DUP).select("doc", "kind", (F.col("doc") == F.col("first")).cast("int").alias("use"), "a", "b")
     found = span.unionByName(dup).groupBy("doc").agg(F.collect_list(F.struct("kind", "use", "a", "b")).alias("found"))
     found = written(found, "found")
@@ -260,7 +311,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     blocks = spark.table(table)
     size = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t)))).first()[0] or 0
     parts = n_parts(8 * size)
-    answers = totals(blocks.mapInArrow(_ask(parts, threshold), ASKED), parts)
+    asks = blocks.mapInArrow(_ask(parts, threshold), ASKED)
+    answers = asks.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_meet, "part int, block long, a binary")
     own = answers.select("block", F.struct("part", "a").alias("x")).groupBy("block").agg(F.collect_list("x").alias("answers"))
     cut = blocks.join(own.hint("merge"), "block", "left").mapInArrow(_cut(threshold, id_type), f"id {kind.simpleString()}, {RESULT}")
     rest = rows.join(_ids(found), "doc", "left_anti")

@@ -1,8 +1,10 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the blend, over n-gram lengths, of the cosine of their sets of present byte
-n-grams. Nyström landmarks turn it into features, on which one ridge regression a language is fitted against
-the rest. A batch of texts is scored by products of its presence matrix with the landmarks'.
+n-grams (of three bytes and more: of their hashes of 16 bits). Nyström landmarks turn it into features, on
+which one ridge regression a language is fitted against the rest. A batch of texts is scored by products of
+its presence matrix with the landmarks'; only n-grams that no landmark has are left out of them, where they
+add nothing.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import CHUNK_BYTES, chunks
-from .packing import trim
+from .packing import ranges, trim
 from .shared import bounded_sample, crc_mod
 
 UNKNOWN = "und"
 SLOTS = 1 << 16  # n-grams of three bytes and more are hashed to so many
-BATCH = 512
+BATCH = 256
 
 
 def _codes(buf: np.ndarray, n: int) -> np.ndarray:
@@ -34,38 +36,38 @@ def _codes(buf: np.ndarray, n: int) -> np.ndarray:
     return x if n <= 2 else (x * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def _flat(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, lower-cased and apart by ``longest`` zeros, and the row of each byte."""
+def _flat(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, lower-cased and each followed by ``longest`` zeros; places of their own bytes, and the text of each."""
     gap = b"\0" * longest
-    buf = np.frombuffer(gap.join([b" " + t.lower() + b" " for t in texts]), np.uint8)
-    rows = np.repeat(np.arange(len(texts)), [len(t) + 2 + longest * (i + 1 < len(texts)) for i, t in enumerate(texts)])
-    return buf, rows
+    buf = np.frombuffer(b"".join([b" " + t.lower() + b" " + gap for t in texts]), np.uint8)
+    lens = np.array([len(t) + 2 for t in texts], np.int64)
+    return buf, ranges(np.cumsum(lens + longest) - lens - longest, lens), np.repeat(np.arange(len(texts)), lens)
+
+
+def _present(texts: list[bytes], lengths):
+    """For each n, which slots of n-grams each text has."""
+    buf, at, row = _flat(texts, max(lengths))
+    for n in lengths:
+        x = np.zeros((len(texts), SLOTS), bool)
+        x[row, _codes(buf, n)[at]] = True
+        yield n, x
 
 
 @dataclass
 class Model:
     langs: list[str]
-    slots: dict[int, np.ndarray]  # by n: column of each code, or the number of columns
-    marks: dict[int, np.ndarray]  # by n: presence in the landmarks, by column and landmark
+    slots: dict[int, np.ndarray]  # by n: slots that a landmark has
+    marks: dict[int, np.ndarray]  # by n: presence in the landmarks, by these slots and landmark
     norms: dict[int, np.ndarray]  # by n: root of the landmarks' numbers of n-grams
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
-
-    def present(self, texts: list[bytes]) -> dict[int, np.ndarray]:
-        buf, rows = _flat(texts, max(self.slots))
-        out = {}
-        for n, slot in self.slots.items():
-            width = len(self.marks[n]) + 1 if self.marks else int(slot.max()) + 1
-            x = np.zeros(len(texts) * width, np.float32)
-            x[rows * width + slot[_codes(buf, n)]] = 1
-            out[n] = x.reshape(len(texts), width)[:, : width - 1]
-        return out
+    least: float = 0.0  # a lower score is that of no language learned
 
     def kernel(self, texts: list[bytes]) -> np.ndarray:
         out = 0.0
-        for n, x in self.present(texts).items():
-            own = np.sqrt(np.maximum(x.sum(axis=1), 1))
-            out = out + (x @ self.marks[n]) / own[:, None] / self.norms[n]
+        for n, x in _present(texts, tuple(self.slots)):
+            own = np.sqrt(np.maximum(np.count_nonzero(x, axis=1), 1))
+            out = out + (x[:, self.slots[n]].astype(np.float32) @ self.marks[n]) / own[:, None] / self.norms[n]
         return out / len(self.slots)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -73,7 +75,7 @@ class Model:
         return np.clip((self.kernel(texts) @ self.weights + self.bias + 1) / 2, 0, 1)
 
 
-def fit(texts: list[bytes], langs: list[str], lengths=(1, 2, 3, 4), landmarks: int = 256, columns: int = 1024, ridge: float = 0.1) -> Model | None:
+def fit(texts: list[bytes], langs: list[str], lengths=(1, 2, 3, 4), landmarks: int = 256, ridge: float = 0.1) -> Model | None:
     """Fit on texts with their languages; None without any. Landmarks are the first texts of each language in turn."""
     names = sorted(set(langs))
     if not names:
@@ -81,20 +83,10 @@ def fit(texts: list[bytes], langs: list[str], lengths=(1, 2, 3, 4), landmarks: i
     each = max(1, landmarks // len(names))
     chosen = [i for name in names for i in [j for j, x in enumerate(langs) if x == name][:each]]
     marks, slots, norms = {}, {}, {}
-    y = np.array([names.index(langs[i]) for i in chosen])
-    for n in lengths:
-        there = np.zeros((len(chosen), SLOTS), bool)
-        for row, i in enumerate(chosen):
-            there[row, _codes(_flat([texts[i]], n)[0], n)] = True
-        # the n-grams whose frequency differs most between languages, those of one landmark alone left out
-        share = np.stack([there[y == k].mean(axis=0) for k in range(len(names))])
-        worth = share.var(axis=0) + 1e-6 * share.mean(axis=0)
-        worth[there.sum(axis=0) < 2] = 0
-        top = np.argsort(-worth, kind="stable")[: min(columns, max(1, int((worth > 0).sum())))]
-        slots[n] = np.full(SLOTS, len(top), np.int32)
-        slots[n][top] = np.arange(len(top), dtype=np.int32)
-        marks[n] = np.ascontiguousarray(there[:, top].T.astype(np.float32))
-        norms[n] = np.sqrt(np.maximum(marks[n].sum(axis=0), 1))
+    for n, there in _present([texts[i] for i in chosen], lengths):
+        slots[n] = np.flatnonzero(there.any(axis=0))
+        marks[n] = np.ascontiguousarray(there[:, slots[n]].T.astype(np.float32))
+        norms[n] = np.sqrt(np.maximum(np.count_nonzero(there, axis=1), 1)).astype(np.float32)
     model = Model(names, slots, marks, norms)
     k = np.concatenate([model.kernel(texts[i : i + BATCH]) for i in range(0, len(texts), BATCH)]).astype(np.float64)
     kll = model.kernel([texts[i] for i in chosen]).astype(np.float64)
@@ -107,6 +99,11 @@ def fit(texts: list[bytes], langs: list[str], lengths=(1, 2, 3, 4), landmarks: i
     beta = np.linalg.solve((phi - mean).T @ (phi - mean) + ridge * np.eye(phi.shape[1]), (phi - mean).T @ (target - centre))
     model.weights = (root @ beta).astype(np.float32)
     model.bias = (centre - mean @ beta).astype(np.float32)
+    # a quarter of the way from the score of a text that shares nothing with any landmark to the lowest of texts told rightly
+    told = np.clip((k @ model.weights + model.bias + 1) / 2, 0, 1)
+    right = told.max(axis=1)[target[np.arange(len(texts)), told.argmax(axis=1)] > 0]
+    nothing = float(np.clip((model.bias + 1) / 2, 0, 1).max())
+    model.least = min(nothing, float(right.min())) * 0.75 + float(right.min()) * 0.25 if len(right) else 0.0
     return model
 
 
@@ -174,10 +171,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def filter_known(docs: DataFrame, model: Model | None, least: float = 0.25, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a letter and a language with a score of ``least`` or more.
+def filter_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a letter and a language with the model's least score or more.
 
-    Without a model only texts that are null or without a letter go.
+    That score is calibrated on the texts learned from, whatever the number of languages: all of these that
+    are told rightly stay. Without a model only texts that are null or without a letter go. An empty table
+    gives no rows; repeated rows are judged alike.
     """
     rows = docs.filter(F.col(text_col).rlike(r"\p{L}"))
     if model is None:
@@ -190,7 +189,7 @@ def filter_known(docs: DataFrame, model: Model | None, least: float = 0.25, text
                 some = batch.slice(i, BATCH)
                 texts = pa.RecordBatch.from_arrays([pa.array(range(len(some))), some.column(at)], names=["id", "text"])
                 best = np.concatenate([shared.value.scores(t).max(axis=1) for _, t in chunks([texts], CHUNK_BYTES // 2)])
-                yield some.filter(pa.array(best >= least))
+                yield some.filter(pa.array(best >= shared.value.least))
             del batch, some, texts
             trim()
 

@@ -2,7 +2,8 @@
 
 Texts are split in Spark at places where the tokenizer's own pattern always splits, before the white space
 that follows other characters. Each distinct word is encoded once; its ids are joined back to the word's
-positions, and ids are decoded by a join with the table of the vocabulary's pieces.
+positions, and ids are decoded by looking them up in the table of the vocabulary's pieces, which has a fixed
+size and goes to every task: the hash join of a broadcast table, over arrays of ids instead of a row a token.
 """
 
 from __future__ import annotations
@@ -53,6 +54,13 @@ def pieces(vocab_json: str) -> list[bytes]:
     return [own.get(i, b"") for i in range(max(own) + 1)]
 
 
+def _packed(all_pieces: list[bytes]):
+    """Lengths of pieces by id, and their bytes one after the other."""
+    import numpy as np
+
+    return np.array([len(p) for p in all_pieces], np.int64), np.frombuffer(b"".join(all_pieces), np.uint8)
+
+
 def _tokenizer(vocab_json: str):
     import os
 
@@ -154,7 +162,8 @@ def _joined(vocab_pieces, id_type):
     def run(batches):
         import numpy as np
 
-        piece = vocab_pieces.value
+        piece_lens, body = vocab_pieces.value
+        piece_starts = np.cumsum(piece_lens) - piece_lens
         for batch in batches:
             for i in range(batch.num_rows):  # a row is a block: one at a time
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -177,7 +186,7 @@ def _joined(vocab_pieces, id_type):
                     done += n
                     ids = flat[ranges(starts[own], lens[own])]
                     a.append(ids.astype("<u4").tobytes())
-                    b.append(b"".join(map(piece.__getitem__, ids.tolist())).decode("utf-8", "replace"))
+                    b.append(body[ranges(piece_starts[ids], piece_lens[ids])].tobytes().decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), pa.array(a, pa.binary()), pa.array(b, pa.string())], names=["id", "ids", "decoded"])
                 del a, b, flat, codes, lens, starts
                 trim()
@@ -207,7 +216,7 @@ def encode(docs: DataFrame, vocab_json: str, id_col: str = "doc_id", text_col: s
     met = split.select("block", "ids", "lens", "codes", "at").join(answers.hint("merge"), "block", "left")
     id_type = to_arrow_type(docs.schema["id"].dataType)
     kind = docs.schema["id"].dataType.simpleString()
-    out = met.mapInArrow(_joined(spark.sparkContext.broadcast(pieces(vocab_json)), id_type), f"id {kind}, ids binary, decoded string")
+    out = met.mapInArrow(_joined(spark.sparkContext.broadcast(_packed(pieces(vocab_json))), id_type), f"id {kind}, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

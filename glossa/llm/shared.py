@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +13,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local default in a single process."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir")
+    if not path and not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or DEFAULT_DIR
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .packing import ranges
 from .shared import written
 
 SEGMENTS, BITS = 4, 16
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 QUERIES = 512
 MASKS = [np.array([sum(1 << i for i in c) for c in combinations(range(BITS), s)], np.int64) for s in range(BITS + 1)]
 
@@ -41,21 +42,21 @@ class Index:
 
     def search(self, code: np.uint64, k: int) -> list[tuple[int, int]]:
         """The k nearest (distance, id), ties by id."""
-        far = np.full(len(self.ids), 255, np.uint8)  # distances verified so far
         own = [int(x) for x in (self.segment(np.array([code]), s)[0] for s in range(SEGMENTS))]
+        seen, far = np.zeros(0, np.int64), np.zeros(0, np.uint8)  # places met, with their verified distances
         for radius in range(BITS + 1):
+            near = []
             for s in range(SEGMENTS):
                 values = own[s] ^ MASKS[radius]
                 a, b = self.ends[s][values], self.ends[s][values + 1]
-                lens = b - a
-                at = np.repeat(a - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
-                met = self.order[s][at]
-                met = met[far[met] == 255]
-                far[met] = np.bitwise_count(self.codes[met] ^ code)
-            met = np.flatnonzero(far <= SEGMENTS * (radius + 1) - 1)
-            if len(met) >= min(k, len(far)):
-                best = met[np.argsort(far[met], kind="stable")[:k]]
-                return [(int(far[i]), int(self.ids[i])) for i in best]
+                near.append(self.order[s][ranges(a, b - a)])
+            met = np.setdiff1d(np.concatenate(near), seen)
+            seen = np.concatenate((seen, met))
+            far = np.concatenate((far, np.bitwise_count(self.codes[met] ^ code)))
+            sure = np.flatnonzero(far <= SEGMENTS * (radius + 1) - 1)
+            if len(sure) >= min(k, len(self.ids)):
+                best = sure[np.lexsort((seen[sure], far[sure]))[:k]]
+                return [(int(far[i]), int(self.ids[seen[i]])) for i in best]
         return []
 
 

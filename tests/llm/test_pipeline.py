@@ -40,8 +40,9 @@ def test_stages_equal_brute_force(spark):
 
     known = stage[0](spark, docs, SF)
     assert known.columns == docs.columns
-    said = language_id.predict(docs, language_id.train(docs, docs["doc_id"] < 0)).collect()
-    assert {r["doc_id"] for r in known.collect()} == {r["doc_id"] for r in said if r["lang_pred"] != "und" and r["score"] >= 0.25}
+    model = language_id.train(docs, docs["doc_id"] < 0)
+    said = language_id.predict(docs, model).collect()
+    assert {r["doc_id"] for r in known.collect()} == {r["doc_id"] for r in said if r["lang_pred"] != "und" and r["score"] >= model.least}
     assert known.count() > 0.9 * len(text)
 
     single = stage[1](spark, known, SF)
@@ -77,3 +78,25 @@ def test_nulls_and_no_rows(spark):
         for _, f in corpus_pipeline.STAGES:
             some = f(spark, some, SF)
         assert sorted({r["doc_id"] for r in some.collect()}) == want
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    word = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    near = word(1, 60).split()
+    rows = [
+        (1, word(1, 60)), (1, word(1, 60)), (None, word(1, 60)),  # copies, one of the same id
+        (2, " ".join(near[:-1])), (None, " ".join(near[1:])),  # near copies
+        (3, word(3, 30)), (3, word(4, 30)), (None, word(5, 30)), (None, word(6, 30)),  # different texts without an id of their own
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t), 7, 8, 9) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int, row int, key int")
+    single = corpus_pipeline.without_copies(spark, docs, "")
+    assert single.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in single.collect()) == sorted({(d or 0, t) for d, t in rows} - {(0, word(1, 60))})
+    apart = corpus_pipeline.without_near_copies(spark, single, "")
+    want = [(0, word(5, 30)), (0, word(6, 30)), (1, word(1, 60)), (3, word(3, 30)), (3, word(4, 30))]
+    assert apart.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in apart.collect()) == sorted(want)
+    mix = corpus_pipeline.mixed(spark, apart, "")
+    assert mix.columns == docs.columns  # one source: its target is its size, so each row is taken once
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in mix.collect()) == sorted(want)
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.encoded(spark, mix, "").collect()) == [0, 0, 1, 3, 3]
+    assert corpus_pipeline.known_language(spark, docs, "").columns == docs.columns

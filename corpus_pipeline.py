@@ -9,36 +9,64 @@ from glossa.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from glossa.llm.shared import written
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept. Most are, so their ids grow with the input and are never broadcast."""
-    return docs.join(written(kept.select("doc_id").distinct(), "kept").hint("merge"), "doc_id", "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once, and the name of its column, which no other has."""
+    key = "_row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _only(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` that are kept. Most are, so their keys grow with the input and are never broadcast."""
+    return docs.join(written(kept.select(key), "kept").hint("merge"), key, "left_semi").drop(key)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language is told with some certainty; learned from the lang column of all."""
+    """Documents in a language: their text has a letter and is not further from all languages than texts that are known.
+
+    Learned from the lang column of all documents. Rows of any id, repeated or null, are judged by their text
+    alone, and equal texts alike; null and empty texts go. Columns of any name are carried along.
+    """
     return language_id.filter_known(docs, language_id.train(docs, F.lit(False)))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal text but for white space. Rows without doc_id can't be named and go."""
-    kept = exact_dedup.dedup(docs).filter("kept")
-    return _only(docs, kept)
+    """One row of each group with equal text but for white space: the longest, then that of the smallest doc_id.
+
+    A null doc_id comes last. Of rows that repeat doc_id and text one stays. Null and empty texts are one group.
+    """
+    docs, key = _keyed(docs)
+    return _only(docs, exact_dedup.dedup(docs, id_col=key, order_col="doc_id").filter("kept"), key)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by sets of five-word shingles with a similarity of 0.8 or more."""
-    kept = near_dedup.near_groups(docs, k=5, percent=80).filter("kept")
-    return _only(docs, kept)
+    """One row of each group linked by sets of five-word shingles with a similarity of 0.8 or more: that of the smallest doc_id.
+
+    A null doc_id comes last. Rows are documents of their own, also where they repeat a doc_id. Texts without
+    words link with nothing and stay.
+    """
+    docs, key = _keyed(docs)
+    groups = near_dedup.near_groups(docs, k=5, percent=80, id_col=key).select(key, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    first = groups.join(docs.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first"))
+    return _only(docs, first.select(F.col("first.row").alias(key)), key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    taken = mixing.mix(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    """Rows as often as the mixture takes them, each on its own account, also where they repeat a doc_id or have none.
+
+    Texts without words are taken 0 times.
+    """
+    docs, key = _keyed(docs)
+    copies = (F.col("taken") / F.col("size")).cast("int")
+    taken = mixing.mix(docs, key_col=key).filter("taken > 0").select(key, F.array_repeat(F.lit(0), copies).alias(f"{key}_times"))
+    names = [c for c in docs.columns if c != key]
+    return docs.join(taken.hint("merge"), key).withColumn(key, F.explode(f"{key}_times")).select(names)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, with digests of the ids and of the text that they decode to."""
+    """Token ids of every copy, with digests of the ids and of the text that they decode to. A null id stays null."""
     out = bpe.encode(docs, bpe.vocabulary())
     return out.select(
         "doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"),

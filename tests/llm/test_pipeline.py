@@ -88,7 +88,7 @@ def test_repeated_rows_null_ids_and_clashing_names(spark):
         (2, " ".join(near[:-1])), (None, " ".join(near[1:])),  # near copies
         (3, word(3, 30)), (3, word(4, 30)), (None, word(5, 30)), (None, word(6, 30)),  # different texts without an id of their own
     ]
-    docs = spark.createDataFrame([(d, t, "en", "a", len(t), 7, 8, 9) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int, row int, key int")
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t), 7, 8, 9) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int, row int, _times int")
     single = corpus_pipeline.without_copies(spark, docs, "")
     assert single.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in single.collect()) == sorted({(d or 0, t) for d, t in rows} - {(0, word(1, 60))})

@@ -9,17 +9,24 @@ from glossa.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from glossa.llm.shared import written
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A name like ``name`` that no column has."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, written once, and the name of its column, which no other has."""
-    key = "_row"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
+    """``docs`` and the column that tells rows apart: doc_id, or if any is null or repeated a number for each row, written with it."""
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs, "doc_id"
+    key = _free("_row", docs)
     return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _only(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+def _only(docs: DataFrame, kept: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The rows of ``docs`` that are kept. Most are, so their keys grow with the input and are never broadcast."""
-    return docs.join(written(kept.select(key), "kept").hint("merge"), key, "left_semi").drop(key)
+    return docs.join(written(kept.select(key), "kept").hint("merge"), key, "left_semi").select(columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +43,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null doc_id comes last. Of rows that repeat doc_id and text one stays. Null and empty texts are one group.
     """
-    docs, key = _keyed(docs)
-    return _only(docs, exact_dedup.dedup(docs, id_col=key, order_col="doc_id").filter("kept"), key)
+    rows, key = _keyed(docs)
+    return _only(rows, exact_dedup.dedup(rows, id_col=key, order_col="doc_id").filter("kept"), key, docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +53,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A null doc_id comes last. Rows are documents of their own, also where they repeat a doc_id. Texts without
     words link with nothing and stay.
     """
-    docs, key = _keyed(docs)
-    groups = near_dedup.near_groups(docs, k=5, percent=80, id_col=key).select(key, "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
-    first = groups.join(docs.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first"))
-    return _only(docs, first.select(F.col("first.row").alias(key)), key)
+    rows, key = _keyed(docs)
+    groups = near_dedup.near_groups(rows, k=5, percent=80, id_col=key).select(F.col(key).alias("row"), "component_id")
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return _only(rows, first.select(F.col("first.row").alias(key)), key, docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +66,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are taken 0 times.
     """
-    docs, key = _keyed(docs)
+    rows, key = _keyed(docs)
+    times = _free("_times", docs)
     copies = (F.col("taken") / F.col("size")).cast("int")
-    taken = mixing.mix(docs, key_col=key).filter("taken > 0").select(key, F.array_repeat(F.lit(0), copies).alias(f"{key}_times"))
-    names = [c for c in docs.columns if c != key]
-    return docs.join(taken.hint("merge"), key).withColumn(key, F.explode(f"{key}_times")).select(names)
+    taken = mixing.mix(rows.select(F.col(key).alias("row"), "doc_id", "text", "source"), key_col="row").filter("taken > 0")
+    taken = taken.select(F.col("row").alias(key), F.array_repeat(F.lit(0), copies).alias(times))
+    out = rows.join(taken.hint("merge"), key)
+    return out.select(*docs.columns, F.explode(times)).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

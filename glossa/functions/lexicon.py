@@ -1,10 +1,11 @@
-"""Tags, contexts and small word lists written from general knowledge of English grammar."""
+"""Tags, contexts, feature lists, and small word lists written from general knowledge of English grammar."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values.
 TAGS = ["CJ", "D", "DT", "N", "NM", "NPL", "P", "PRE", "V", "VM"]
 RARE_TAGS = ["CJ", "VM", "PRE", "V"]
 
@@ -28,7 +29,15 @@ PENN_TAGS = {
     "MD": "V", "VB": "V", "VBP": "V", "VBZ": "V", "PRP": "PR", "PRPS": "PR", "RB": "VM", "RBR": "VM", "RP": "VM",
 }
 
-# Closed word classes and a few open-class words. Larger lists come as tables.
+# The features a model learns from, those that are carried along, and those that go before it learns.
+STABLE_FEATURES = ["WORD", "SPLIT_IDENTIFIER", "CONTEXT_NUMBER"]
+MODEL_FEATURES = [
+    "ENGLISHPRE_SCORE", "PREPOSITION", "DETERMINER", "PREP_SCORE", "NORMALIZED_POSITION", "DET_SCORE", "CONSONANT_VOWEL_RATIO", "PREV_POS", "NEXT_POS", "NLTK_POS",
+    "MORPHOLOGICAL_PLURAL", "POSITION", "MAXPOSITION", "POSITION_RATIO", "ENGLISH_VERB_SCORE", "CONJ_SCORE", "ENGLISH_NOUN_SCORE",
+]
+DROPPED_FEATURES = ["SPLIT_IDENTIFIER", "WORD", "MAXPOSITION", "POSITION"]
+
+# Our own words: closed classes and a few of the open ones. Larger lists come as tables.
 CONJUNCTIONS = ["and", "or", "nor", "but", "so", "yet", "for", "because", "although", "unless", "while", "if", "than", "whether"]
 DETERMINERS = ["a", "an", "the", "this", "that", "these", "those", "each", "every", "all", "any", "some", "no", "both", "either", "neither", "my", "your", "his", "her", "its", "our", "their"]
 PREPOSITIONS = ["of", "in", "on", "at", "by", "to", "from", "with", "without", "for", "as", "into", "onto", "over", "under", "between", "through", "before", "after", "since", "until", "about", "against", "per", "via"]

@@ -27,10 +27,12 @@ def contrast(target: Column, others: Column, beta: float) -> Column:
 
 def centroid(vectors: DataFrame, by: list[str], vec: str = "vec", weight: str | None = None, unit: bool = False) -> DataFrame:
     """Mean vector of each group as (by..., centroid), weighted by a column; of unit length on demand."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    each = vectors.select(*by, w.alias("_w"), F.posexplode(vec).alias("_i", "_x"))
-    means = each.groupBy(*by, "_i").agg((F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("_m"))
-    out = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centroid"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    each = array_to_vector(F.transform(vec, lambda x: x.cast("double")))
+    mean = Summarizer.mean(each, F.col(weight).cast("double")) if weight else Summarizer.mean(each)
+    out = vectors.groupBy(*by).agg(vector_to_array(mean).alias("centroid"))
     if unit:
         out = out.withColumn("centroid", F.transform("centroid", lambda x: F.try_divide(x, norm(F.col("centroid")))))
     return out

@@ -21,22 +21,14 @@ def split_identifier(name: Column) -> Column:
     return F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
 
 
-def register_split(spark: SparkSession) -> None:
-    """``split_identifier_rows(identifier)`` as a table function for SQL."""
-    from pyspark.sql.functions import udtf
-
-    import re
+#: The expression of ``split_identifier`` in SQL.
+SPLIT_SQL = r"""filter(split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(identifier, ''), r'[^\p{L}\p{N}]+', ' '),
+  r'([\p{Ll}0-9])(\p{Lu})', '$1 $2'), r'(\p{Lu}+)(\p{Lu}\p{Ll})', '$1 $2'), r'(\p{L})([0-9])', '$1 $2')), r'\s+'), w -> w <> '')"""
 
-    @udtf(returnType="word string, position int")
-    class Rows:
-        def eval(self, identifier: str):
-            x = re.sub(r"[\W_]+", " ", identifier or "")
-            for p in (r"([a-z0-9])([A-Z])", r"([A-Z]+)([A-Z][a-z])", r"([A-Za-z])([0-9])"):
-                x = re.sub(p, r"\1 \2", x)
-            for i, w in enumerate(x.split()):
-                yield w, i
 
-    spark.udtf.register("split_identifier_rows", Rows)
+def register_split(spark: SparkSession) -> None:
+    """``split_identifier_rows(identifier)`` as a table function of SQL: (word, position), the words that ``split_identifier`` gives."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION split_identifier_rows(identifier STRING) RETURNS TABLE (word STRING, position INT) RETURN SELECT word, position FROM (SELECT posexplode({SPLIT_SQL}) AS (position, word))")
 
 
 def split_by_frequency(costs: dict[str, float], unknown: float = 12.0) -> Callable:
@@ -132,15 +124,17 @@ def url_name(words: Column, context: Column | None = None) -> Column:
 
 @F.pandas_udf(StringType())
 def similarity_bucket(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Bucket of the sequence-matching ratio of two names; blanks have none."""
+    """Bucket of the sequence-matching ratio of two names; blanks have none. Equal pairs of a batch are compared once."""
 
     def one(x, y):
-        if not x or not y or not x.strip() or not y.strip():
+        if not x.strip() or not y.strip():
             return "@sim_none"
-        r = difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio()
+        r = difflib.SequenceMatcher(None, x, y).ratio()
         return "@sim_high" if r > 0.9 else "@sim_mid" if r > 0.6 else "@sim_low" if r > 0.3 else "@sim_none"
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    pairs = pd.MultiIndex.from_arrays([a.fillna("").str.lower(), b.fillna("").str.lower()])
+    codes, own = pairs.factorize()
+    return pd.Series([one(x, y) for x, y in own], dtype=object).take(codes).reset_index(drop=True)
 
 
 def position_tokens(n: Column) -> Column:

@@ -76,6 +76,21 @@ FEATURES: dict[str, Callable[[], Column]] = {
 }
 
 
+def _beside(step: int, edge: str) -> Callable[[], Column]:
+    """The Penn tag of the word before or after, or the edge's mark; the first of equal words counts."""
+
+    def column() -> Column:
+        words = F.split(F.trim("split_identifier"), r"\s+")
+        at = F.array_position(F.split(F.lower(F.trim("split_identifier")), r"\s+"), F.lower("word")).cast("int") + step
+        other = F.when(at > 0, F.try_element_at(words, F.greatest(at, F.lit(1))))
+        return F.when(other.isNull(), edge).otherwise(penn(other))
+
+    return column
+
+
+FEATURES |= {"PREV_POS": _beside(-1, "START"), "NEXT_POS": _beside(1, "END")}
+
+
 def register_feature(name: str, fn: Callable[[], Column]) -> None:
     FEATURES[name] = fn
 
@@ -88,11 +103,18 @@ def featurize(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumns({n: FEATURES[n]() for n in names if n in FEATURES})
 
 
+def drop_features(rows: DataFrame, names: list[str] = lx.DROPPED_FEATURES) -> DataFrame:
+    """``rows`` without the columns that a model must not learn from, whatever the case of their names; others need not be there."""
+    gone = {n.lower() for n in names}
+    return rows.select(*[c for c in rows.columns if c.lower() not in gone])
+
+
 def dictionary_class(words: DataFrame, english: DataFrame, approved: DataFrame, word: str = "word") -> DataFrame:
     """``words`` with ``dictionary``: DW English, AW approved, DD numeric, else UC. The lists have a ``word`` column."""
-    e = english.select(F.lower("word").alias("_w"), F.lit(1).alias("_e")).distinct()
-    a = approved.select(F.lower("word").alias("_w"), F.lit(1).alias("_a")).distinct()
-    out = words.withColumn("_w", F.lower(word)).join(e, "_w", "left").join(a, "_w", "left")
+    e = english.select(F.lower("word").alias("_w"), F.lit(1).alias("_e"), F.lit(None).cast("int").alias("_a"))
+    a = approved.select(F.lower("word").alias("_w"), F.lit(None).cast("int").alias("_e"), F.lit(1).alias("_a"))
+    lists = e.unionByName(a).groupBy("_w").agg(F.max("_e").alias("_e"), F.max("_a").alias("_a"))
+    out = words.withColumn("_w", F.lower(word)).join(lists, "_w", "left")
     kind = F.when(F.col("_e").isNotNull(), "DW").when(F.col("_a").isNotNull(), "AW").when(F.col(word).rlike(r"^\p{N}+$"), "DD").otherwise("UC")
     return out.withColumn("dictionary", kind).drop("_w", "_e", "_a")
 
@@ -117,16 +139,48 @@ def tag_words(words: Column) -> Column:
 
 
 def with_neighbours(rows: DataFrame, pos: str = "pos", by: str = "identifier_id", order: str = "position") -> DataFrame:
+    """Rows that are apart already; a group's words are in one task. Words still in an array need no shuffle, see ``explode_neighbours``."""
     over = Window.partitionBy(by).orderBy(order)
     return rows.withColumns({"prev_pos": F.lag(pos, 1, "START").over(over), "next_pos": F.lead(pos, 1, "END").over(over)})
 
 
+def explode_neighbours(rows: DataFrame, words: Column) -> DataFrame:
+    """A row a word: pos from 0, word, and the Penn tags of the word, the one before (START) and the one after (END)."""
+    n = F.size(words)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(n - 1, F.lit(0))))
+    after = F.concat(F.slice(words, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    each = F.when(n > 0, F.arrays_zip(words.alias("w"), before.alias("b"), after.alias("a")))
+    out = rows.select("*", F.posexplode(each).alias("pos", "_x"))
+    edge = lambda c, mark: F.when(F.col(c).isNull(), mark).otherwise(penn(F.col(c)))
+    return out.select(*rows.columns, "pos", F.col("_x.w").alias("word"), penn(F.col("_x.w")).alias("p"), edge("_x.b", "START").alias("prev_pos"), edge("_x.a", "END").alias("next_pos"))
+
+
 def tag_response(words: Column, tags: Column, kinds: Column) -> Column:
     """{"words": [{word: {"tag", "dictionary"}}, ...]} as JSON."""
     each = F.transform(F.arrays_zip(words.alias("w"), tags.alias("t"), kinds.alias("d")), lambda s: F.create_map(s["w"], F.struct(s["t"].alias("tag"), s["d"].alias("dictionary"))))
     return F.to_json(F.struct(each.alias("words")))
 
 
+RESPONSE = "words array<map<string,struct<tag:string,dictionary:string>>>"
+
+
+def read_response(text: Column) -> Column:
+    """The words of a response as an array of (word, tag, dictionary); null for text that is none."""
+    each = F.transform(F.from_json(text, RESPONSE)["words"], lambda m: F.map_entries(m)[0])
+    return F.transform(each, lambda e: F.struct(e["key"].alias("word"), e["value"]["tag"].alias("tag"), e["value"]["dictionary"].alias("dictionary")))
+
+
+def last_wins(pairs: Column) -> Column:
+    """A map of an array of two-field structs; of equal keys the last one's value stays."""
+    keys = F.transform(pairs, lambda p: p["word"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["word"])))
+
+
+def word_labels(path: Column, word_pieces: Column) -> Column:
+    """Labels of words from a decoded path that lacks the start piece: the label of piece i is path[i - 1]."""
+    return F.transform(word_pieces, lambda i: F.try_element_at(path, i.cast("int")))
+
+
 def first_pieces(pieces: DataFrame, features: int = 4) -> DataFrame:
     """First sub-token of each word, without special, feature and position tokens; columns id, idx, word_idx."""
     odd = pieces.filter((F.col("word_idx") >= features) & ((F.col("word_idx") - features) % 2 == 1))
@@ -139,6 +193,12 @@ def count_by(rows: DataFrame, *keys: Column | str, name: str = "cnt") -> DataFra
     return rows.groupBy(*keys).agg(F.count("*").alias(name))
 
 
+def frequency_totals(rows: DataFrame, name: str = "freq", word: str | None = None) -> DataFrame:
+    """One row: the number of rows, the sum of their frequencies and, of a text column, the longest length."""
+    more = [F.max(F.length(word)).alias("longest")] if word else []
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(name), F.lit(0)).alias("total"), *more)
+
+
 def collapse_last(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in rows.columns if c != key]
@@ -167,27 +227,74 @@ def clean_training(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size("words") == F.size("tags"))
 
 
+def has_rare_tag(tags: Column, rare: list[str] = lx.RARE_TAGS) -> Column:
+    """Whether an array of tags has one of the rare ones; not for null."""
+    return F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, rare))), F.lit(False))
+
+
 def upsample(rows: DataFrame, rare: Column, times: int = 3) -> DataFrame:
+    """Rows with copy from 1: ``times`` copies of rare ones, one of the others. To keep copies in one fold, see ``folds(group=...)``."""
     return rows.withColumn("copy", F.explode(F.when(rare, F.sequence(F.lit(1), F.lit(times))).otherwise(F.array(F.lit(1)))))
 
 
+def labelled(rows: DataFrame, label: str = "label", ignore: int = -100) -> DataFrame:
+    """Rows whose label is not the ignored one; null labels go as well."""
+    return rows.filter(F.col(label) != ignore)
+
+
+def or_invalid(text: Column, mark: str = "Invalid") -> Column:
+    """The text, or a mark where it is null or blank."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", mark).otherwise(text)
+
+
+def with_defaults(rows: DataFrame, names: list[str], value: str = "") -> DataFrame:
+    """``rows`` with the named text columns, ``value`` where a column lacks or is null."""
+    return rows.withColumns({n: F.coalesce(F.col(n), F.lit(value)) if n in rows.columns else F.lit(value) for n in names})
+
+
+def stamped(rows: DataFrame, name: str = "tag_time") -> DataFrame:
+    """``rows`` with the time of the query and its clock reading."""
+    return rows.withColumns({name: F.current_timestamp(), f"{name}_clock": F.date_format(F.current_timestamp(), "HH:mm:ss")})
+
+
 def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed)))
 
 
+def ranked(rows: DataFrame, key: str, seed: int, label: str | None = None, bin_rows: int = 16_384) -> DataFrame:
+    """``rows`` with _rank, from 1 by hash of the key within the label, and _total, the label's rows.
+
+    The hash's leading bits deal a label of any size into bins of about ``bin_rows``; only the bins' counts
+    are summed up in one task, and ranks are made within bins. Rows that repeat a key are in any order.
+    """
+    bins = max(1, min(1 << 16, -(-rows.count() // bin_rows)))
+    rows = rows.withColumn("_order", hash_order(F.col(key), seed)).withColumn("_label", F.col(label).cast("string") if label else F.lit(""))
+    rows = rows.withColumn("_bin", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * bins / F.lit(1 << 32)).cast("int"))
+    rows = rows.withColumn("_label", F.coalesce(F.concat(F.lit("="), "_label"), F.lit("")))
+    counts = rows.groupBy("_label", "_bin").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy("_label")
+    counts = counts.select("_label", "_bin", (F.sum("_n").over(over.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(over).alias("_total"))
+    inner = F.row_number().over(Window.partitionBy("_label", "_bin").orderBy("_order", key))
+    out = rows.withColumn("_inner", inner).join(counts, ["_label", "_bin"])
+    return out.withColumn("_rank", F.col("_before") + F.col("_inner")).drop("_order", "_bin", "_label", "_before", "_inner")
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
     """``rows`` with is_test: the first ceil(share * n) of each label in hash order."""
-    over = Window.partitionBy(label)
-    rank = F.row_number().over(over.orderBy(hash_order(F.col(key), seed), key))
-    return rows.withColumn("is_test", rank <= F.ceil(F.lit(share) * F.count("*").over(over)))
+    out = ranked(rows, key, seed, label)
+    return out.withColumn("is_test", F.col("_rank") <= F.ceil(F.lit(share) * F.col("_total"))).drop("_rank", "_total")
 
 
-def folds(rows: DataFrame, key: str, k: int, seed: int, label: str | None = None) -> DataFrame:
-    """``rows`` with fold, 0 to k - 1. Stratified folds deal each label out in turn; others go by the hash alone, without a sort of all rows."""
-    order = hash_order(F.col(key), seed)
-    if label is None:
-        return rows.withColumn("fold", (F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % k).cast("int"))
-    return rows.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1) % k).cast("int"))
+def folds(rows: DataFrame, key: str, k: int, seed: int, label: str | None = None, group: str | None = None) -> DataFrame:
+    """``rows`` with fold, 0 to k - 1, dealt out in turn in hash order: of all rows, or of each label.
+
+    With ``group``, groups are dealt out instead of rows, so that none (such as the copies of an upsampled
+    row) is on both sides of a fold.
+    """
+    if group is not None:
+        dealt = folds(rows.select(group).distinct(), group, k, seed)
+        return rows.join(dealt, group)
+    return ranked(rows, key, seed, label).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_total")
 
 
 # --- metrics
@@ -205,7 +312,7 @@ def _over(a: Column, b: Column) -> Column:
 
 
 def per_class(matrix: DataFrame) -> DataFrame:
-    """From (actual, predicted, cnt): tp, fp, fn, tn, precision, recall, f1, balanced_accuracy (one against the rest), mcc, support."""
+    """From (actual, predicted, cnt): tp, fp, fn, tn, precision, recall, f1, balanced_accuracy and weighted_accuracy (one against the rest), mcc, support."""
     rows = matrix.groupBy(F.col("actual").alias("label")).agg(F.sum("cnt").alias("r"), F.lit(0).cast("long").alias("c"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("cnt")).otherwise(0)).alias("tp"))
     cols = matrix.groupBy(F.col("predicted").alias("label")).agg(F.lit(0).cast("long").alias("r"), F.sum("cnt").alias("c"), F.lit(0).cast("long").alias("tp"))
     m = rows.unionByName(cols).groupBy("label").agg(*[F.sum(x).alias(x) for x in ("r", "c", "tp")]).withColumn("n", matrix.agg(F.sum("cnt")).scalar())
@@ -213,7 +320,7 @@ def per_class(matrix: DataFrame) -> DataFrame:
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     p, r = _over(tp, tp + fp), _over(tp, tp + fn)
     root = F.sqrt((tp + fp).cast("double") * (tp + fn) * (tn + fp) * (tn + fn))
-    return m.withColumns({"precision": p, "recall": r, "f1": _over(2 * p * r, p + r), "balanced_accuracy": (r + _over(tn, tn + fp)) / 2, "mcc": _over(tp.cast("double") * tn - fp.cast("double") * fn, root)})
+    return m.withColumns({"precision": p, "recall": r, "f1": _over(2 * p * r, p + r), "balanced_accuracy": (r + _over(tn, tn + fp)) / 2, "weighted_accuracy": _over(tp + tn, tp + fp + fn + tn), "mcc": _over(tp.cast("double") * tn - fp.cast("double") * fn, root)})
 
 
 def overall(matrix: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 def idents(spark: SparkSession, d: str) -> DataFrame:
     part, n = read(spark, d, "part"), F.split("p_name", " ")
     two = F.try_element_at(n, F.lit(2))
-    name = F.concat(n[0], F.upper(F.substring(two, 1, 1)), F.substring(two, 2, 1000), F.col("p_size"))
+    name = F.concat(n[0], F.upper(F.substring(two, 1, 1)), F.substr(two, F.lit(2)), F.col("p_size"))
     context = F.element_at(F.array(*map(F.lit, CONTEXTS)), (F.col("p_partkey") % 5 + 1).cast("int"))
     return part.select(F.col("p_partkey").alias("id"), name.alias("name"), context.alias("context"), "p_brand", "p_type").withColumn("words", w.split_identifier(F.col("name")))
 
@@ -94,6 +94,7 @@ met AS (
 met2 AS (
   SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
          (recall + CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END) / 2 AS balanced_accuracy,
+         (tp + tn) / (tp + tn + fp + fn) AS weighted_accuracy,
          CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc FROM met)
 """
 
@@ -119,7 +120,8 @@ def context_count(spark, d):
 
 @query(f"SELECT lower(word) AS word, {PENN_SQL} AS tag, count(*) AS cnt FROM dw GROUP BY ALL")
 def word_tag_count(spark, d):
-    return op.count_by(doc_words(spark, d), F.lower("word").alias("word"), op.penn(F.col("word")).alias("tag"))
+    counts = op.count_by(doc_words(spark, d), F.lower("word").alias("word"))  # a word's tag depends on nothing else
+    return counts.select("word", op.penn(F.col("word")).alias("tag"), "cnt")
 
 
 @query(f"""SELECT id, name, n_words::INT AS n_words, position, CASE WHEN position = 0 THEN 0 WHEN position = n_words - 1 THEN 2 ELSE 1 END AS normalized_position,
@@ -219,8 +221,8 @@ def path_parts(spark, d):
 @query(f"""SELECT doc_id, pos, lag(p, 1, 'START') OVER o AS prev_pos, lead(p, 1, 'END') OVER o AS next_pos, {case(lx.COARSE_NUMBERS, "(" + case(lx.PENN_COARSE, "p", "'NOUN'") + ")", "1")} AS coarse,
   {case(lx.PENN_TAGS, "p", "'UNKNOWN'")} AS tag FROM (SELECT doc_id, pos, {PENN_SQL} AS p FROM dw) WINDOW o AS (PARTITION BY doc_id ORDER BY pos)""")
 def pos_neighbors(spark, d):
-    rows = doc_words(spark, d).withColumn("p", op.penn(F.col("word")))
-    rows = op.with_neighbours(rows, "p", "doc_id", "pos")
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    rows = op.explode_neighbours(read(spark, d, "documents").select("doc_id", words.alias("words")), F.col("words"))
     return rows.select("doc_id", "pos", "prev_pos", "next_pos", lx.coarse_number(F.col("p")).alias("coarse"), lx.penn_tag(F.col("p")).alias("tag"))
 
 
@@ -278,20 +280,26 @@ def pattern_count(spark, d):
     return op.count_by(tagged(spark, d), F.array_join("tags", " ").alias("pattern"))
 
 
-def doc_patterns(spark, d):
-    """The tags of each document's first one to five words, the document its ordinal."""
-    some = doc_words(spark, d).filter(F.col("pos") <= F.col("doc_id") % 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", op.penn(F.col("word")).alias("t")))).alias("x"))
-    return some.select(F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("pattern"), F.col("doc_id").alias("ordinal"))
+def sentence_patterns(spark, d):
+    """The tags of all words of each sentence of all documents, a sentence's place its ordinal."""
+    each = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("k", "s"))
+    tags = F.transform(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)), op.penn)
+    each = each.select(tags.alias("tags"), (F.col("doc_id") * 1_000_000 + F.col("k")).alias("ordinal")).filter(F.size("tags") > 0)
+    return each.select(F.array_join("tags", " ").alias("pattern"), "ordinal")
 
 
-@query(f""", pats AS (SELECT string_agg({PENN_SQL}, ' ' ORDER BY pos) AS pattern, doc_id FROM dw WHERE pos <= doc_id % 5 GROUP BY doc_id),
-  cnts AS (SELECT pattern, count(*) AS freq, min(doc_id) AS first, string_split(pattern, ' ') AS terms FROM pats GROUP BY pattern),
+@query(rf""", sw AS (
+  SELECT doc_id, k, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM (
+    SELECT doc_id, k, regexp_extract_all(s, '\p{{L}}+') AS words FROM (
+      SELECT doc_id, unnest(string_split(text, '.')) AS s, unnest(range(0, len(string_split(text, '.')))) AS k FROM documents))),
+  pats AS (SELECT string_agg({PENN_SQL}, ' ' ORDER BY pos) AS pattern, doc_id * 1000000 + k AS ordinal FROM sw GROUP BY doc_id, k),
+  cnts AS (SELECT pattern, count(*) AS freq, min(ordinal) AS first, string_split(pattern, ' ') AS terms FROM pats GROUP BY pattern),
   leads AS (SELECT terms[1] AS head, arg_min(terms, first) AS lead FROM cnts GROUP BY 1),
-  gen AS (SELECT CASE WHEN len(terms) > 1 THEN terms[:-2] ELSE terms END AS g, lead FROM cnts JOIN leads ON terms[1] = head WHERE freq = 1),
-  pre AS (SELECT array_to_string(list_slice(g, 1, coalesce(list_max(list_filter(range(1, least(len(g), len(lead)) + 1), lambda k: list_slice(g, 1, k) = list_slice(lead, 1, k))), 0)), ' ') AS prefix FROM gen)
-  SELECT prefix, sum(freq)::BIGINT AS freq FROM (SELECT pattern AS prefix, freq FROM cnts WHERE freq >= 2 UNION ALL SELECT prefix, 1 FROM pre WHERE regexp_matches(prefix, '[\\p{{L}}\\p{{N}}]')) GROUP BY prefix""".replace("terms[:-2]", "list_slice(terms, 1, len(terms) - 1)"))
+  gen AS (SELECT CASE WHEN len(terms) > 1 THEN list_slice(terms, 1, len(terms) - 1) ELSE terms END AS g, lead FROM cnts JOIN leads ON terms[1] = head WHERE freq = 1),
+  pre AS (SELECT array_to_string(list_slice(g, 1, coalesce(nullif(list_position(list_transform(list_zip(g, lead), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0) - 1, len(g))), ' ') AS prefix FROM gen)
+  SELECT prefix, sum(freq)::BIGINT AS freq FROM (SELECT pattern AS prefix, freq FROM cnts WHERE freq >= 2 UNION ALL SELECT prefix, 1 FROM pre WHERE regexp_matches(prefix, '[\p{{L}}\p{{N}}]')) GROUP BY prefix""")
 def pattern_prefix_groups(spark, d):
-    return op.pattern_prefixes(doc_patterns(spark, d))
+    return op.pattern_prefixes(sentence_patterns(spark, d))
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -299,12 +307,10 @@ def collapse_last(spark, d):
     return op.collapse_last(read(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
-@query("""SELECT doc_id, len(regexp_split_to_array(trim(text), '\\s+'))::BIGINT AS n FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE regexp_extract(text, '^\\S+( \\S+)?') END AS text FROM documents)
-  WHERE trim(text) <> '' AND len(regexp_split_to_array(trim(text), '\\s+')) = 2""")
+@query("SELECT id, len(words)::BIGINT AS n, array_to_string(words, ' ') AS split FROM idents WHERE len(words) > 0")
 def clean_training_input(spark, d):
-    text = F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.regexp_extract("text", r"^\S+( \S+)?", 0))
-    rows = read(spark, d, "documents").select("doc_id", text.alias("split"), F.when(F.col("doc_id") >= 0, "V N").alias("grammar_pattern"))
-    return op.clean_training(rows).select("doc_id", F.size("words").cast("long").alias("n"))
+    rows = tagged(spark, d).select("id", F.concat(F.lit(" "), F.array_join("words", "  ")).alias("split"), F.array_join("tags", " ").alias("grammar_pattern"))
+    return op.clean_training(rows).select("id", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("split"))
 
 
 @query("SELECT doc_id, quality, unnest(CASE WHEN quality = 0 THEN [1, 2, 3] ELSE [1] END) AS copy FROM labels")
@@ -327,7 +333,7 @@ def stratified_split(spark, d):
     return op.stratified_split(read(spark, d, "labels"), "quality", "doc_id", 0.15, 209).select("doc_id", "quality", "is_test")
 
 
-@query("SELECT event_id, (('0x' || substr(md5(event_id || ':209'), 1, 8))::BIGINT % 5)::INT AS fold, md5(event_id || ':7') AS shuffled FROM events")
+@query("SELECT event_id, ((row_number() OVER (ORDER BY md5(event_id || ':209'), event_id) - 1) % 5)::INT AS fold, md5(event_id || ':7') AS shuffled FROM events")
 def kfold(spark, d):
     return op.folds(read(spark, d, "events"), "event_id", 5, 209).select("event_id", "fold", op.hash_order(F.col("event_id"), 7).alias("shuffled"))
 
@@ -356,7 +362,7 @@ def confusion_pivot(spark, d):
     return op.confusion_pivot(matrix(spark, d), [0, 1]).select("actual", F.col("0").alias("p0"), F.col("1").alias("p1"))
 
 
-R = ["precision", "recall", "f1", "balanced_accuracy", "mcc"]
+R = ["precision", "recall", "f1", "balanced_accuracy", "weighted_accuracy", "mcc"]
 
 
 @query("SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, support::BIGINT AS support, " + ", ".join(f"round({c}, 6) AS {c}" for c in R) + " FROM met2")
@@ -422,10 +428,10 @@ def embedding_stats(spark, d):
     return s.select("label", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "norm")])
 
 
-@query("SELECT hit, count(*) AS cnt FROM (SELECT EXISTS (SELECT 1 FROM events c WHERE c.event_id < 500 AND c.user_id = e.user_id AND c.event_type = e.event_type) AS hit FROM events e WHERE e.event_id >= 500) GROUP BY hit")
+@query("SELECT hit, count(*) AS cnt FROM (SELECT user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS hit FROM events) GROUP BY hit")
 def cache_split(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "event_type")
-    hits, misses = op.cache_split(e.filter("event_id >= 500"), e.filter("event_id < 500"), ["user_id", "event_type"])
+    hits, misses = op.cache_split(e, e.filter("event_type = 'purchase'"), ["user_id"])
     return hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumn("hit", F.lit(False))).groupBy("hit").agg(F.count("*").alias("cnt"))
 
 

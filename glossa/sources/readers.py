@@ -51,13 +51,18 @@ def read_config(spark: SparkSession, path: str) -> dict:
 def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of counts as (word, log_frequency); a path without files or a broken one gives no rows."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], WORD_COUNTS)
     counts = F.from_json("value", "map<string,double>")
     return text.select(F.explode(counts).alias("word", "log_frequency"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A word a line as it stands; empty lines are left out."""
+    return spark.read.text(path).select(F.col("value").alias("word")).filter("word <> ''")
+
+
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """The first comma-separated field of each line; lines without a comma are taken whole."""
     return spark.read.text(path).select(F.substring_index("value", ",", 1).alias("word"))
@@ -71,23 +76,42 @@ def read_identifier_list(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_pipe_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of word|POS pairs without the header, the first line of each file."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
-    heads = lines.groupBy("file").agg(F.min("at").alias("at"))
-    return lines.join(F.broadcast(heads), ["file", "at"], "left_anti").select(F.col("value").alias("record"))
+    """Lines of word|POS pairs as record, without the header, the first line of each file. Empty lines are left out."""
+    reader = spark.read.option("header", True).option("sep", "\u0001").option("quote", "").option("nullValue", "\u0000")
+    return reader.schema("record string").csv(path)
+
+
+VECTORS = "word string, vec array<float>"
+
 
+def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
+    """(word, vec) from the first of the paths that can be read: Parquet, or text of a word and its numbers a line (.vec, .txt).
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return require_columns(spark.read.parquet(path), ["word", "vec"])
+    Header lines of two numbers are left out. If no path can be read there are no rows, and a warning.
+    """
+    for path in paths:
+        try:
+            if re.search(r"\.(vec|txt)(\.\w+)?$", path):
+                parts = F.split(F.trim("value"), r"\s+")
+                lines = spark.read.text(path).filter(F.size(parts) > 2)
+                return lines.select(parts[0].alias("word"), F.slice(parts, 2, F.size(parts)).cast("array<float>").alias("vec"))
+            return require_columns(spark.read.parquet(path), ["word", "vec"])
+        except AnalysisException:
+            continue
+    warnings.warn(f"no vectors at {', '.join(paths) or 'no path'}", stacklevel=2)
+    return spark.createDataFrame([], VECTORS)
 
 
 def write_delimited(df: DataFrame, path: str, header: bool = True, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
 
 
-def write_word_counts(counts: DataFrame, path: str) -> None:
-    """(word, cnt) as one JSON object a file, without collecting them on the driver."""
-    counts.select(F.to_json(F.struct("word", "cnt")).alias("value")).write.mode("overwrite").text(path)
+def write_word_counts(counts: DataFrame, path: str, words_a_file: int = 100_000) -> None:
+    """(word, cnt) as JSON objects of words and counts, one a file, that ``read_word_counts`` reads. Null words are left out."""
+    counts = counts.filter("word IS NOT NULL").select("word", "cnt")
+    files = max(1, -(-counts.count() // words_a_file))
+    each = counts.withColumn("file", F.pmod(F.xxhash64("word"), F.lit(files))).groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "cnt")))).alias("value"))
+    each.write.mode("overwrite").partitionBy("file").text(path)
 
 
 def write_word_lines(pairs: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Encounter state over a stream, keyed by (name, context) and watermarked for late data on demand."""
+"""Encounter state over a stream, keyed by (name, context) or other columns, and streams of requests."""
 
 from __future__ import annotations
 
@@ -10,10 +10,24 @@ from pyspark.sql import functions as F
 from ..operators.core import encounters
 
 
-def encounter_stream(events: DataFrame, keys: list[str], ts: str, sink: str, checkpoint: str | None = None):
-    """Starts the query that keeps first, last and count of each key in a memory table; runs what is available and ends."""
-    writer = encounters(events.withColumn(ts, F.col(ts).cast("timestamp")), keys, ts).writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def encounter_stream(events: DataFrame, keys: list[str], ts: str, path: str, checkpoint: str):
+    """Starts the query that keeps first, last and count of each key under ``path``; runs what is available and ends.
+
+    Each micro-batch is reduced to a row a key and written to a folder of its own, which a batch that is run
+    again after a failure overwrites. As first, last and count of parts add up to those of the whole, there is
+    no state to keep between batches, and late events count whenever they come, without a watermark.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        encounters(batch.withColumn(ts, F.col(ts).cast("timestamp")), keys, ts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def encounter_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """(keys, first_encounter, last_encounter, cnt) of what ``encounter_stream`` has written so far."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy(*keys).agg(F.min("first_encounter").alias("first_encounter"), F.max("last_encounter").alias("last_encounter"), F.sum("cnt").alias("cnt"))
 
 
 def tagged_stream(requests: DataFrame, path: str, checkpoint: str):
@@ -27,7 +41,8 @@ def tagged_stream(requests: DataFrame, path: str, checkpoint: str):
 
 
 def drain(spark: SparkSession, source_dir: str, schema, keys: list[str], ts: str) -> DataFrame:
-    name = f"encounters_{uuid.uuid4().hex}"
+    home = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+    home = f"{home}/encounters-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(source_dir)
-    encounter_stream(source, keys, ts, name).awaitTermination()
-    return spark.table(name)
+    encounter_stream(source, keys, ts, f"{home}/state", f"{home}/log").awaitTermination()
+    return encounter_state(spark, f"{home}/state", keys)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import M, Words, chunks, mix
-from .packing import ASKED, BLOCK_BYTES, asked, n_parts, pack, pack_sorted, totals, trim, unpack, unpack_sorted
+from .packing import ASKED, BLOCK_BYTES, asked, n_parts, pack, pack_sorted, totals, trim, unpack, unpack_counts, unpack_sorted
 from .shared import crc_mod, fresh_path, text_bytes, written
 
 END = np.uint64(0x5851F42D4C957F2D)  # the name of the end, which is the context of first words too
@@ -105,7 +105,7 @@ class Block:
         rows = sorted(answers, key=lambda r: r["part"])
         for kind, what in enumerate(("name_counts", "pair_counts")):
             own = [r for r in rows if r["part"] // parts == kind]
-            setattr(self, what, tuple(np.concatenate([unpack(r[c], np.uint64) for r in own]).astype(np.int64) for c in "ab"))
+            setattr(self, what, tuple(np.concatenate([unpack_counts(r[c]) for r in own]) for c in "ab"))
 
 
 def _ask(parts: int):

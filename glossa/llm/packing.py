@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 
 BLOCK_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 
 def n_parts(n_bytes: int, part_bytes: int = PART_BYTES) -> int:
@@ -108,19 +108,36 @@ def asked(block: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int
         yield {"part": first + p, "block": block, "keys": pack_sorted(keys[i:j]), "a": pack(a[i:j].astype(np.uint32)), "b": pack(b[i:j].astype(np.uint32))}
 
 
+def pack_counts(a: np.ndarray) -> bytes:
+    """Counts in the narrowest of the unsigned widths up to 64 bits that holds them all; the first byte is the width."""
+    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + pack(a.astype(kind))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], f"u{data[0]}").astype(np.int64)
+
+
 def _totals(table):
-    rows = table.to_pylist()
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    counts = [[unpack(r[c], np.uint32) for r in rows] for c in "ab"]
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = [np.bincount(inverse, weights=np.concatenate(c), minlength=len(every)).astype(np.int64) for c in counts]
-    del inverse, counts
-    out = []
-    for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
-        at = np.searchsorted(every, k)
-        a, b = (t[at].astype(np.uint64) for t in totals)
-        first = i == 0
-        out.append({"part": r["part"], "block": r["block"], "a": pack(a), "b": pack(b), "n_keys": int(((totals[0] + totals[1]) > 0).sum()) * first, "sum_a": int(totals[0].sum()) * first, "sum_b": int(totals[1].sum()) * first})
+    part, block = table.column("part").to_pylist(), table.column("block").to_pylist()
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    n = len(every)
+    del keys, every
+    out = [{"part": p, "block": k, "n_keys": 0, "sum_a": 0, "sum_b": 0} for p, k in zip(part, block, strict=True)]
+    seen = np.zeros(n, bool)
+    for c in "ab":
+        own = np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()])
+        total = np.bincount(of, weights=own, minlength=n).astype(np.int64)
+        del own
+        seen |= total > 0
+        out[0][f"sum_{c}"] = int(total.sum())
+        for r, i, j in zip(out, [0, *ends[:-1]], ends, strict=True):
+            r[c] = pack_counts(total[of[i:j]])
+        del total
+    out[0]["n_keys"] = int(seen.sum())
+    del of, seen
     trim()
     kinds = [("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n_keys", pa.int64()), ("sum_a", pa.int64()), ("sum_b", pa.int64())]
     return pa.Table.from_pylist(out, schema=pa.schema(kinds))
@@ -130,7 +147,6 @@ def totals(requests, parts: int):
     """Answers ANSWERED to rows of ASKED: each key's counts summed over all blocks, in the order asked.
 
     A part is a range of keys, of which every block has about the same share, as keys are hashes. Its first
-    answer has the part's number of keys with a count and the sums of counts. Answers are unsigned 64-bit
-    integers, whose empty upper bytes take no room packed.
+    answer has the part's number of keys with a count and the sums of counts.
     """
     return requests.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_totals, ANSWERED)

@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).format("parquet").saveAsTable(table)
     blocks = spark.table(table)
     size = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t)))).first()[0] or 0
-    parts = n_parts(8 * size)
+    parts = n_parts(4 * size)
     asks = blocks.mapInArrow(_ask(parts, threshold), ASKED)
     answers = asks.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_meet, "part int, block long, a binary")
     own = answers.select("block", F.struct("part", "a").alias("x")).groupBy("block").agg(F.collect_list("x").alias("answers"))

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import CHUNK_BYTES, chunks
 from .packing import ranges, trim
-from .shared import bounded_sample, crc_mod
+from .shared import bounded_sample, crc_mod, within_bytes
 
 UNKNOWN = "und"
 SLOTS = 1 << 16  # n-grams of three bytes and more are hashed to so many
@@ -115,12 +115,13 @@ def fit(texts: list[bytes], langs: list[str], lengths=(1, 2, 3, 4), landmarks: i
     return model
 
 
-def train(docs: DataFrame, held_out: Column, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model | None:
-    """Fit on at most ``per_language`` whole texts of each language, chosen by the hash of the id among the rows not held out."""
+def train(docs: DataFrame, held_out: Column, per_language: int = 400, bytes_a_language: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model | None:
+    """Fit on at most ``per_language`` whole texts of each language, of ``bytes_a_language`` together, chosen by the hash of the id among the rows not held out."""
     rows = docs.filter(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     ids = bounded_sample(rows.select("id", "lang"), "lang", "id", per_language).select("id")
-    some = sorted((r["id"], r["lang"], r["text"]) for r in rows.join(F.broadcast(ids), "id", "left_semi").collect())
+    some = within_bytes(rows.join(F.broadcast(ids), "id", "left_semi"), "lang", "text", bytes_a_language)
+    some = sorted((r["id"], r["lang"], r["text"]) for r in some.select("id", "lang", "text").collect())
     return fit([t.encode() for _, _, t in some], [x for _, x, _ in some], **options)
 
 

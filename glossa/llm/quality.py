@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import chunks
 from .packing import trim
-from .shared import bounded_sample, crc_mod
+from .shared import bounded_sample, crc_mod, within_bytes
 
 
 @dataclass
@@ -89,14 +89,15 @@ def fit(texts: list[bytes], labels: list[int], piece: int = 1024, size: int = 11
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, per_label: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Model | None:
-    """Fit on at most ``per_label`` whole texts of each label, chosen by the hash of the id among labels not held out.
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, per_label: int = 3000, bytes_a_label: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Model | None:
+    """Fit on at most ``per_label`` whole texts of each label, of ``bytes_a_label`` together, chosen by the hash of the id among labels not held out.
 
     ``held_out`` is a condition on ``id_col``. Null labels, ids and texts are left out.
     """
     known = labels.filter(~held_out & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     some = bounded_sample(known, "label", "id", per_label)
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    rows = within_bytes(rows, "label", "text", bytes_a_label)
     rows = sorted((r["id"], r["label"], r["text"]) for r in rows.collect())
     counts = {k: sum(x[1] == k for x in rows) for k in (0, 1)}
     model = fit([t.encode() for _, _, t in rows], [x for _, x, _ in rows], **options)

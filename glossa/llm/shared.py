@@ -109,3 +109,12 @@ def bounded_sample(rows: DataFrame, label: str, id_col: str, per_class: int, see
     some = rows.withColumn("_order", order).filter(F.col("_order") < share * F.lit(float(1 << 40)))
     first = Window.partitionBy(label).orderBy("_order", id_col)
     return some.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_class).drop("_order", "_rank")
+
+
+def within_bytes(rows: DataFrame, label: str, text: str, most: int, id_col: str = "id", seed: int = 0) -> DataFrame:
+    """Of a bounded sample the rows of each label, in the order of their hash, whose texts have ``most`` bytes together; one at least."""
+    order = [F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)), F.col(id_col)]
+    over = Window.partitionBy(label).orderBy(*order)
+    sizes = F.sum(F.octet_length(text)).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_sum", sizes).withColumn("_rank", F.row_number().over(over))
+    return out.filter((F.col("_sum") <= most) | (F.col("_rank") == 1)).drop("_sum", "_rank")

@@ -24,6 +24,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MOST_RULES = 20_000
 WORD_BITS = 64
 
 
@@ -131,8 +132,11 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "
     A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest rule wins,
     and without one ``default`` holds, since the URL's keys are not listed. Null URLs and such without
     ``://`` have an empty host and path and fit no rule. Rows may repeat; an empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored. The rules' verdicts and the filters' bits are literals of the plan, so there
+    may be ``MOST_RULES`` rules at most; more raise an error.
     """
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     own = keys(F.col("host"), F.col("path"), sorted({len(p) for _, p, _ in rules}))

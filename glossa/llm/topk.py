@@ -1,63 +1,29 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments. With all segments searched up to radius s, every code within distance
-segments * (s + 1) - 1 has been met, since a code further off in each segment is further off in all. So the
-radius grows until the kth verified distance is within that bound. Codes are searched in blocks of rows,
-against blocks of queries, and the blocks' best are merged.
+A code is cut into segments, and the index is a table of every code under the value of each of its segments.
+With all segments searched up to radius s, every code within distance segments * (s + 1) - 1 has been met,
+since a code further off in each segment is further off in all. So a query probes the values at a growing
+radius around its own segments until its kth verified distance is within that bound, and codes that it does
+not meet are never compared. Probes and index rows of one bucket of values meet in one task by a shuffle.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .packing import ranges
+from .packing import ranges, trim
 from .shared import written
 
 SEGMENTS, BITS = 4, 16
-BLOCK = 1 << 18
-QUERIES = 512
-MASKS = [np.array([sum(1 << i for i in c) for c in combinations(range(BITS), s)], np.int64) for s in range(BITS + 1)]
-
-
-class Index:
-    """The codes of a block by the value of each segment."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.codes = ids[order], codes[order]
-        self.order, self.ends = [], []
-        for s in range(SEGMENTS):
-            value = self.segment(self.codes, s)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.ends.append(np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << BITS)))))
-
-    @staticmethod
-    def segment(codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-
-    def search(self, code: np.uint64, k: int) -> list[tuple[int, int]]:
-        """The k nearest (distance, id), ties by id."""
-        own = [int(x) for x in (self.segment(np.array([code]), s)[0] for s in range(SEGMENTS))]
-        seen, far = np.zeros(0, np.int64), np.zeros(0, np.uint8)  # places met, with their verified distances
-        for radius in range(BITS + 1):
-            near = []
-            for s in range(SEGMENTS):
-                values = own[s] ^ MASKS[radius]
-                a, b = self.ends[s][values], self.ends[s][values + 1]
-                near.append(self.order[s][ranges(a, b - a)])
-            met = np.setdiff1d(np.concatenate(near), seen)
-            seen = np.concatenate((seen, met))
-            far = np.concatenate((far, np.bitwise_count(self.codes[met] ^ code)))
-            sure = np.flatnonzero(far <= SEGMENTS * (radius + 1) - 1)
-            if len(sure) >= min(k, len(self.ids)):
-                best = sure[np.lexsort((seen[sure], far[sure]))[:k]]
-                return [(int(far[i]), int(self.ids[seen[i]])) for i in best]
-        return []
+LOW = 8  # bits of a segment's value inside a bucket; the others name the bucket
+CHUNK = 8192  # index rows of a bucket that a task holds at once
+FLIPS = [np.array([m for m in range(1 << LOW) if m.bit_count() == d], np.int64) for d in range(LOW + 1)]
+PAIRS = 1 << 20
 
 
 def codes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -68,42 +34,101 @@ def codes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.filter(fit & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), bits.alias("code"))
 
 
-def _blocks(limit: int):
+def _segments(rows: DataFrame) -> DataFrame:
+    """A row a segment: its number, the bucket of its value and the rest of the value, low."""
+    each = F.array(*[F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned("code", s * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("value")) for s in range(SEGMENTS)])
+    out = rows.select("*", F.explode(each).alias("_s"))
+    return out.select(*rows.columns, "_s.segment", F.shiftright("_s.value", LOW).alias("bucket"), F.col("_s.value").bitwiseAND(F.lit((1 << LOW) - 1)).alias("low"))
+
+
+def index(base: DataFrame) -> DataFrame:
+    """(segment, bucket, chunk, low, row, id, code): each code under all its segments; large buckets are dealt over chunks."""
+    rows = _segments(base)
+    counts = rows.groupBy("segment", "bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    counts = F.broadcast(written(counts, "buckets"))  # as many as there are buckets, whatever the input
+    rows = rows.join(counts, ["segment", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
+    return written(rows.select("segment", "bucket", "chunk", "low", "row", "id", "code"), "index")
+
+
+def _probes(queries: DataFrame, chunks: DataFrame, radii: list[int]) -> DataFrame:
+    """What queries ask of buckets at these very radii: so many bits differ in the bucket, the rest (need) must in low."""
+    flips = [(m, radius - m.bit_count()) for radius in radii for m in range(1 << (BITS - LOW)) if radius - LOW <= m.bit_count() <= radius]
+    each = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(need).alias("need")) for m, need in flips])
+    rows = _segments(queries).select("*", F.explode(each).alias("_f")).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("_f.m")))
+    rows = rows.join(F.broadcast(chunks), ["segment", "bucket"])  # buckets without a code are not asked
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    return rows.select("segment", "bucket", "chunk", F.col("_f.need").alias("need"), "low", "id", "code", "most")
+
+
+class Bucket:
+    """A chunk of a bucket's index rows by the low bits of their value."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
+        low, self.row, self.id, self.code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(low, kind="stable")
+        self.row, self.id, self.code = self.row[order], self.id[order], self.code[order]
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(low, minlength=1 << LOW))))
+
+    def search(self, need: int, low: np.ndarray, code: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(probe, place, distance) of codes at this distance in the low bits that are near enough; a probe's k best."""
+        values = (low[:, None] ^ FLIPS[need][None]).reshape(-1)
+        start, lens = self.ends[values], self.ends[values + 1] - self.ends[values]
+        probe = np.repeat(np.repeat(np.arange(len(low)), len(FLIPS[need])), lens)
+        place = ranges(start, lens)
+        far = np.bitwise_count(self.code[place] ^ code[probe]).astype(np.int64)
+        near = far <= most[probe]
+        probe, place, far = probe[near], place[near], far[near]
+        order = np.lexsort((self.id[place], far, probe))
+        probe, place, far = probe[order], place[order], far[order]
+        first = np.searchsorted(probe, probe)
+        best = np.arange(len(probe)) - first < k
+        return probe[best], place[best], far[best]
+
+
+def _meet(k: int):
+    """Index rows (need -1) of a chunk come before the probes of it."""
+
     def run(batches):
-        ids, own, n = [], [], 0
+        held, parts, bucket = None, [], None
         for batch in batches:
-            for i in range(0, batch.num_rows, limit):
-                some = batch.slice(i, limit)
-                ids.append(some.column(0).to_numpy())
-                own.append(some.column(1).to_numpy())
-                n += len(some)
-                if n >= limit:
-                    yield _row(ids, own)
-                    ids, own, n = [], [], 0
-        if n:
-            yield _row(ids, own)
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            need, low, row, own, most = (batch.column(i).to_numpy() for i in (3, 4, 5, 6, 8))
+            code = batch.column(7).to_numpy().view(np.uint64)
+            change = np.any(key[:, 1:] != key[:, :-1], axis=0) | (need[1:] != need[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(need)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held != (now := tuple(key[:, a].tolist())):
+                    held, parts, bucket = now, [], None
+                if need[a] < 0:
+                    parts.append((low[a:b], row[a:b], own[a:b], code[a:b]))
+                    continue
+                if not parts:
+                    continue
+                bucket = bucket or Bucket(parts)
+                for i in range(a, b, max(1, PAIRS // CHUNK)):
+                    j = min(b, i + max(1, PAIRS // CHUNK))
+                    probe, place, far = bucket.search(int(need[a]), low[i:j], code[i:j], most[i:j], k)
+                    if len(probe):
+                        cols = [own[i:j][probe], code[i:j][probe].view(np.int64), bucket.row[place], bucket.id[place], far]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_code", "row", "id", "distance"])
+        trim()
 
     return run
 
 
-def _row(ids, own):
-    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype(np.int64).tobytes()], pa.binary()) for x in (ids, own)], names=["ids", "codes"])
-
-
-def _search(k: int):
-    def run(batches):
-        held = (None, None)
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held[0] != r["ids"]:
-                    held = (r["ids"], Index(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint64)))
-                out = [(q, int(c.view(np.int64)), d, i) for q, c in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), np.frombuffer(r["q_codes"], np.uint64), strict=True) for d, i in held[1].search(c, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "query_code", "distance", "id"])
-
-    return run
+def first_radius(n: int, k: int) -> int:
+    """The least radius at which a query is expected to meet ``k`` of ``n`` codes, if they are spread evenly."""
+    met = 0.0
+    for radius in range(BITS + 1):
+        met += SEGMENTS * math.comb(BITS, radius) * n / (1 << BITS)
+        if met >= k:
+            return radius
+    return BITS
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` to each row of ``queries`` by Hamming distance of sign codes, ties by id.
 
     Columns query_id, rank (from 1), the id, distance. A query that is among the vectors meets itself. Rows
@@ -111,11 +136,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     all returned. Rows that repeat an id are vectors of their own; queries that repeat id and code are one,
     and with another code they are ranked apart. Other columns are ignored; empty tables give no rows.
     """
-    base = written(codes(vectors, id_col, vec_col).mapInArrow(_blocks(block), "ids binary, codes binary"), "codes")
-    asked = written(codes(queries, id_col, vec_col).distinct().mapInArrow(_blocks(QUERIES), "ids binary, codes binary"), "queries").toDF("q_ids", "q_codes")
-    met = base.crossJoin(asked).mapInArrow(_search(k), "query_id long, query_code long, distance long, id long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_code").orderBy("distance", "id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "distance")
+    base = written(codes(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "codes")
+    found = index(base)
+    chunks = written(found.groupBy("segment", "bucket").agg(F.max("chunk").alias("last")), "chunks")
+    n = base.count()
+    key = ["query_id", "query_code"]
+    waiting = codes(queries, id_col, vec_col).distinct().select(F.col("id").alias("query_id"), F.col("code").alias("query_code"))
+    waiting = written(waiting.withColumn("most", F.lit(SEGMENTS * BITS).cast("long")), "queries")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("distance", "id", "row"))
+    index_rows = found.select("segment", "bucket", "chunk", F.lit(-1).alias("need"), "low", "row", "id", "code", F.lit(0).cast("long").alias("most"))
+    best, start = None, first_radius(n, k)
+    for radius in range(start, BITS + 1):
+        probes = _probes(waiting.toDF("id", "code", "most"), chunks, list(range(start + 1)) if radius == start else [radius])
+        rows = index_rows.unionByName(probes.withColumn("row", F.lit(0).cast("long")).select(index_rows.columns))
+        rows = rows.repartition("segment", "bucket", "chunk").sortWithinPartitions("segment", "bucket", "chunk", "need")
+        met = rows.mapInArrow(_meet(k), "query_id long, query_code long, row long, id long, distance long")
+        met = met if best is None else best.unionByName(met)
+        best = written(met.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"), "best")
+        reached = best.groupBy(*key).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        sure = (F.col("n") >= min(k, n)) & (F.col("far") <= SEGMENTS * (radius + 1) - 1)
+        most = F.when(F.col("n") >= k, F.col("far")).otherwise(SEGMENTS * BITS).cast("long").alias("most")
+        waiting = waiting.select(*key).join(reached, key, "left").filter(~F.coalesce(sure, F.lit(n == 0))).select(*key, most)
+        if (waiting := written(waiting, "waiting")).isEmpty():
+            break
+    return best.withColumn("rank", rank).select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

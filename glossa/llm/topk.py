@@ -52,12 +52,15 @@ def index(base: DataFrame) -> DataFrame:
 
 def _probes(queries: DataFrame, chunks: DataFrame, radii: list[int]) -> DataFrame:
     """What queries ask of buckets at these very radii: so many bits differ in the bucket, the rest (need) must in low."""
-    flips = [(m, radius - m.bit_count()) for radius in radii for m in range(1 << (BITS - LOW)) if radius - LOW <= m.bit_count() <= radius]
-    each = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(need).alias("need")) for m, need in flips])
-    rows = _segments(queries).select("*", F.explode(each).alias("_f")).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("_f.m")))
+    rows = None
+    for radius in radii:
+        flips = F.explode(F.filter(F.sequence(F.lit(0), F.lit((1 << (BITS - LOW)) - 1)), lambda m: F.bit_count(m).between(radius - LOW, radius)))  # noqa: B023  called at once
+        some = _segments(queries).select("*", flips.alias("_m")).withColumn("need", F.lit(radius) - F.bit_count("_m"))
+        rows = some if rows is None else rows.unionByName(some)
+    rows = rows.withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("_m")))
     rows = rows.join(F.broadcast(chunks), ["segment", "bucket"])  # buckets without a code are not asked
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    return rows.select("segment", "bucket", "chunk", F.col("_f.need").alias("need"), "low", "id", "code", "most")
+    return rows.select("segment", "bucket", "chunk", F.col("need").cast("int").alias("need"), "low", "id", "code", "most")
 
 
 class Bucket:
@@ -146,8 +149,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("distance", "id", "row"))
     index_rows = found.select("segment", "bucket", "chunk", F.lit(-1).alias("need"), "low", "row", "id", "code", F.lit(0).cast("long").alias("most"))
     best, start = None, first_radius(n, k)
-    for radius in range(start, BITS + 1):
-        probes = _probes(waiting.toDF("id", "code", "most"), chunks, list(range(start + 1)) if radius == start else [radius])
+    steps = [(0, start), *((a, min(a + 1, BITS)) for a in range(start + 1, BITS + 1, 2))]  # a job costs more than a radius
+    for low, radius in steps:
+        probes = _probes(waiting.toDF("id", "code", "most"), chunks, list(range(low, radius + 1)))
         rows = index_rows.unionByName(probes.withColumn("row", F.lit(0).cast("long")).select(index_rows.columns))
         rows = rows.repartition("segment", "bucket", "chunk").sortWithinPartitions("segment", "bucket", "chunk", "need")
         met = rows.mapInArrow(_meet(k), "query_id long, query_code long, row long, id long, distance long")

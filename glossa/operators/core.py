@@ -124,8 +124,9 @@ def dictionary_class(words: DataFrame, english: DataFrame, approved: DataFrame,
 def penn(word: Column) -> Column:
     """Penn tag by word lists and endings; the slot that a model's tagger may fill."""
     low = F.lower(word)
+    digits = F.when(F.substring(word, -1, 1).between("A", "z"), False).otherwise(word.rlike(r"^\p{Nd}+$"))  # most words end in a letter
     return (
-        F.when(low.rlike(r"^\p{Nd}+$"), "CD").when(low.isin(*lx.CONJUNCTIONS), "CC").when(low.isin(*lx.DETERMINERS), "DT")
+        F.when(digits, "CD").when(low.isin(*lx.CONJUNCTIONS), "CC").when(low.isin(*lx.DETERMINERS), "DT")
         .when(low.isin(*lx.PREPOSITIONS), "IN").when(low.isin(*lx.VERBS), "VB").when(low.endswith("ly"), "RB").when(low.endswith("ing"), "VBG")
         .when(low.endswith("ed"), "VBD").when(low.endswith("ss"), "NN").when(low.endswith("s") & (F.length(low) > 1), "NNS").otherwise("NN")
     )
@@ -146,13 +147,12 @@ def with_neighbours(rows: DataFrame, pos: str = "pos", by: str = "identifier_id"
 
 def explode_neighbours(rows: DataFrame, words: Column) -> DataFrame:
     """A row a word: pos from 0, word, and the Penn tags of the word, the one before (START) and the one after (END)."""
-    n = F.size(words)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice(words, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
-    each = F.when(n > 0, F.arrays_zip(words.alias("w"), before.alias("b"), after.alias("a")))
-    out = rows.select("*", F.posexplode(each).alias("pos", "_x"))
-    edge = lambda c, mark: F.when(F.col(c).isNull(), mark).otherwise(penn(F.col(c)))
-    return out.select(*rows.columns, "pos", F.col("_x.w").alias("word"), penn(F.col("_x.w")).alias("p"), edge("_x.b", "START").alias("prev_pos"), edge("_x.a", "END").alias("next_pos"))
+    tags = rows.withColumns({"_w": words, "_t": F.transform(words, penn)})
+    n = F.greatest(F.size("_t") - 1, F.lit(0))
+    before, after = F.concat(F.array(F.lit("START")), F.slice("_t", 1, n)), F.concat(F.slice("_t", 2, n), F.array(F.lit("END")))
+    each = F.when(F.size("_t") > 0, F.arrays_zip(F.col("_w").alias("w"), F.col("_t").alias("t"), before.alias("b"), after.alias("a")))
+    out = tags.select(*rows.columns, F.posexplode(each).alias("pos", "_x"))
+    return out.select(*rows.columns, "pos", F.col("_x.w").alias("word"), F.col("_x.t").alias("p"), F.col("_x.b").alias("prev_pos"), F.col("_x.a").alias("next_pos"))
 
 
 def tag_response(words: Column, tags: Column, kinds: Column) -> Column:

@@ -222,7 +222,7 @@ def path_parts(spark, d):
   {case(lx.PENN_TAGS, "p", "'UNKNOWN'")} AS tag FROM (SELECT doc_id, pos, {PENN_SQL} AS p FROM dw) WINDOW o AS (PARTITION BY doc_id ORDER BY pos)""")
 def pos_neighbors(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    rows = op.explode_neighbours(read(spark, d, "documents").select("doc_id", words.alias("words")), F.col("words"))
+    rows = op.explode_neighbours(read(spark, d, "documents").select("doc_id", "text"), words)
     return rows.select("doc_id", "pos", "prev_pos", "next_pos", lx.coarse_number(F.col("p")).alias("coarse"), lx.penn_tag(F.col("p")).alias("tag"))
 
 

@@ -113,10 +113,10 @@ def fit(texts: list[bytes], langs: list[str], lengths=(1, 2, 3, 4), landmarks: i
     beta = np.linalg.solve((phi - mean).T @ (phi - mean) + ridge * np.eye(phi.shape[1]), (phi - mean).T @ (target - centre))
     model.weights = (root @ beta).astype(np.float32)
     model.bias = (centre - mean @ beta).astype(np.float32)
-    # a quarter of the way from the score of a text that shares nothing with any landmark to the lowest of texts told rightly
+    # a quarter of the way from the score of a text that shares nothing with any landmark, or of the empty text if that is less, to the lowest of texts told rightly
     told = np.clip((k @ model.weights + model.bias + 1) / 2, 0, 1)
     right = told.max(axis=1)[target[np.arange(len(texts)), told.argmax(axis=1)] > 0]
-    nothing = float(np.clip((model.bias + 1) / 2, 0, 1).max())
+    nothing = min(float(np.clip((model.bias + 1) / 2, 0, 1).max()), float(model.scores([b""]).max()))
     model.least = min(nothing, float(right.min())) * 0.75 + float(right.min()) * 0.25 if len(right) else 0.0
     return model
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..sources.working import written
 from .core import confusion, folds, overall, ranked, union_all
 
 #: Algorithms by name; boosted trees are binary, so they are fitted one against the rest.
@@ -39,8 +40,11 @@ def _classifier(algorithm: str, seed: int, params: dict | None = None):
 
 
 def fit_tagger(rows: DataFrame, algorithm: str = "rf", columns: list[str] | None = None, vec: str = "vec", label: str = "label", seed: int = 209, params: dict | None = None):
-    """Fit on feature columns, or on a vector column kept as an array. Rows with a null feature are left out."""
-    rows = rows.withColumn("label", F.col(label).cast("double"))
+    """Fit on feature columns, or on a vector column kept as an array. Rows with a null feature are left out.
+
+    A fit reads its rows once a pass, so that they are written first.
+    """
+    rows = written(rows.select(*(columns or [vec]), F.col(label).cast("double").alias("label")), "features")
     last = _classifier(algorithm, seed, params).setFeaturesCol("features")
     if columns is None:
         return _WithVector(Pipeline(stages=[last]).fit(rows.withColumn("features", array_to_vector(F.col(vec)))), vec)

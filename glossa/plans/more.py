@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +11,9 @@ from ..functions import words as w
 from ..operators import cache, models, scores, tagger
 from ..operators import core as op
 from ..sources import readers
+from ..sources.working import scratch, written
 from .catalogue import LABEL_IDS, case, doc_words, idents, query, quoted, read, tagged
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder among those that driver and executors share."""
-    return f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- embeddings of words: each word has the vector at a place that its hash names; words whose hash begins with 0 have none
 
 SPACES = ("english", "methods", "tokens")
@@ -257,7 +250,9 @@ def cache_encounters(spark, d):
 # --- the trained tagger and model selection
 
 def trained(spark, d, algorithm="rf"):
-    scored = scores.word_scores({"english": space(spark, d, "english")}, lx.lexicon_table(spark), ["ENGLISHPRE_SCORE", "PREP_SCORE", "DET_SCORE", "ENGLISH_VERB_SCORE", "CONJ_SCORE", "ENGLISH_NOUN_SCORE"])
+    vectors = written(space(spark, d, "english"), "space")
+    scored = scores.word_scores({"english": vectors}, lx.lexicon_table(spark), ["ENGLISHPRE_SCORE", "PREP_SCORE", "DET_SCORE", "ENGLISH_VERB_SCORE", "CONJ_SCORE", "ENGLISH_NOUN_SCORE"])
+    scored = written(scored, "scores")
     rows = op.stratified_split(tagged(spark, d).select("id", "words", "tags", "context", F.element_at("tags", -1).alias("last")), "last", "id", 0.15, 209)
     model, transitions = tagger.fit_identifier_tagger(rows.filter("NOT is_test"), scored, algorithm)
     return rows, scored, model, transitions

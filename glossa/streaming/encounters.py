@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.core import encounters
+from ..sources.working import scratch
 
 
 def encounter_stream(events: DataFrame, keys: list[str], ts: str, path: str, checkpoint: str):
@@ -41,8 +40,7 @@ def tagged_stream(requests: DataFrame, path: str, checkpoint: str):
 
 
 def drain(spark: SparkSession, source_dir: str, schema, keys: list[str], ts: str) -> DataFrame:
-    home = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
-    home = f"{home}/encounters-{uuid.uuid4().hex}"
+    home = scratch(spark, "encounters")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(source_dir)
     encounter_stream(source, keys, ts, f"{home}/state", f"{home}/log").awaitTermination()
     return encounter_state(spark, f"{home}/state", keys)

@@ -36,10 +36,11 @@ class Words:
     """Words of texts: maximal runs of bytes other than ASCII white space, with A-Z lower-cased.
 
     A word's name is a polynomial of its bytes over 64 bits, mixed; two words of one name are taken as one.
+    ``between`` marks other bytes that words are parted by; the line feed must be one of them.
     """
 
-    def __init__(self):
-        self.up = self.down = powers(BASE, 0)
+    def __init__(self, between: np.ndarray = WHITE):
+        self.between, self.up, self.down = between, powers(BASE, 0), powers(BASE, 0)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(names of all words, words of each text)."""
@@ -48,7 +49,7 @@ class Words:
         if n > len(self.up):
             self.up, self.down = powers(BASE, 2 * n), powers(BASE_INVERSE, 2 * n)
         white = np.ones(n + 2, bool)
-        white[1:-1] = WHITE[buf]
+        white[1:-1] = self.between[buf]
         edges = np.flatnonzero(white[1:] != white[:-1])
         starts, ends = edges[0::2], edges[1::2]
         sums = np.zeros(n + 1, np.uint64)

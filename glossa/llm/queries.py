@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, language_model, mixing, near_dedup, quality, substring_dedup, topk, url_filter
+from . import bpe, exact_dedup, fill_middle, jaccard_join, language_id, language_model, lexical_search, mixing, near_dedup, quality, substring_dedup, topk, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+        "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
+        "op11_jaccard_join": jaccard_join.OP11_SQL,
+        "op12_fill_middle": fill_middle.OP12_SQL,
+        "op13_lexical_search": lexical_search.OP13_SQL,
     }

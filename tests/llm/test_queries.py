@@ -10,7 +10,7 @@ from glossa.llm import queries
 
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
-TABLES = ("documents", "embeddings", "pages")
+TABLES = ("documents", "embeddings", "pages", "benchmark")
 
 
 def remainder(doc_id, n):

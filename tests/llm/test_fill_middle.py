@@ -29,7 +29,7 @@ def plainly(doc_id, text, unit, rate, spm):
     return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
 
 
-@pytest.mark.parametrize(("unit", "rate", "spm"), [(fim.CODE_POINT, 90, 20), (r"\S+\s*|\s+", 100, 50), (r"[^\n]*\n", 95, 0)])
+@pytest.mark.parametrize(("unit", "rate", "spm"), [(fim.CODE_POINT, 90, 20), (r"\S+\s*|\s+", 100, 50), (r"[^\n]+\n?|\n", 95, 0)])
 def test_equals_plain_code_and_comes_back(spark, unit, rate, spm):
     frame = docs(spark)
     rows = fim.fill_middle(frame, unit, rate, spm).withColumn("back", fim.restore(F.col("output"), F.col("form"))).collect()

@@ -1,36 +1,33 @@
 """Ranked lexical search, score at a time over impact-ordered postings.
 
 What a term adds to a document's score, its impact, depends on the document's length and the term's count and
-rarity. The index holds a row for each term, exact impact and chunk, with the documents that have it. Every
-query works through its terms' impacts from the highest on, in rounds that each take a few times the postings
-of those before. After a round, what the query has not yet taken adds a known amount at most. Once that is
-less than the k-th best score so far, no document that is still unseen can get among the first k; then those
-seen ones that could are scored in full, as soon as that is less work than the postings that are left.
+rarity. Documents are dealt out to shards of bounded size; the index has a row for each shard, term and exact
+impact, with the documents. In a shard every query works through its terms' impacts from the highest on. What it
+has not yet taken adds a known amount at most: once that is less than the k-th best score so far, no document
+that is still unseen can get among the first k, and only those seen ones that could are scored in full. A first
+pass over the highest impacts of all shards gives each query a score that its k-th best has at least, so that
+shards without good documents stop early.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import Words, chunks
 from .packing import trim
-from .shared import BROADCAST_ROWS, join_groups, written
+from .shared import written
 
 BETWEEN = np.ones(256, bool)  # bytes that part terms: all of ASCII but letters and digits
 BETWEEN[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = False
-VOCABULARY = 1 << 20  # terms of queries that one pass over the documents looks for
-CHUNK = 4096  # documents in a row of the index, about
-FIRST = 64  # times k postings that a query takes in its first round
-GROWTH = 4  # times as many as in all rounds before it takes in each further one
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast behind a count of the rows; to be counted, they should be written."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+TERMS = 1 << 17  # of queries that one pass over the documents looks for, about; they and their terms' df are sent to the tasks
+SHARD = 4096  # documents, about
+STEP = 0.6  # a query takes its impacts down to this share of the highest, then to this share of that, and so on
+PILOT = 3  # such steps make the first pass
 
 
 def _lists(starts: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
@@ -59,13 +56,13 @@ def _doc_terms(vocabulary, id_type):
         words, known = Words(BETWEEN), vocabulary.value
         for keys, texts in chunks(batches):
             names, counts = words(texts)
-            at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-            hit = known[at] == names
+            at = np.minimum(np.searchsorted(known, names), max(len(known) - 1, 0))
+            hit = known[at] == names if len(known) else np.zeros(len(names), bool)
             doc = np.repeat(np.arange(len(texts)), counts)
-            pair, times = np.unique(doc[hit] * len(known) + at[hit], return_counts=True)
-            starts = np.searchsorted(pair, np.arange(len(texts) + 1) * len(known))
+            pair, times = np.unique(doc[hit] * max(len(known), 1) + at[hit], return_counts=True)
+            starts = np.searchsorted(pair, np.arange(len(texts) + 1) * max(len(known), 1))
             cols = [pa.array([k["row"] for k in keys], pa.int64()), pa.array([k["id"] for k in keys], id_type), pa.array(counts.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*cols, *_lists(starts, known[pair % len(known)].view(np.int64), times)], names=["row", "id", "n", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([*cols, *_lists(starts, known[pair % max(len(known), 1)].view(np.int64), times)], names=["row", "id", "n", "terms", "counts"])
         trim()
 
     return run
@@ -84,70 +81,116 @@ def _with_impact(postings: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
 
 
 class ImpactIndex:
-    """Postings of a vocabulary (a frame of term), by term and exact impact, in the shared folder.
+    """Postings of a vocabulary (sorted names of terms), by shard, term and exact impact, in the shared folder.
 
-    ``docs`` has a row for each row of the documents: row (its number), id, n, and the terms it has of the
-    vocabulary. ``lists`` has each term's df. ``groups`` has term, impact, size and the rows of about ``CHUNK``
-    postings, ``ladder`` the number of postings of each term and impact.
+    ``docs`` has a row for each row of the documents: shard, row (its number), id, n, and the terms it has of the
+    vocabulary. ``groups`` has shard, term, impact, and the rows, the highest impacts first.
     """
 
-    def __init__(self, docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        spark, id_type = docs.sparkSession, to_arrow_type(docs.schema[id_col].dataType)
-        kind = docs.schema[id_col].dataType.simpleString()
+    def __init__(self, docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text"):
+        spark, kind = docs.sparkSession, docs.schema[id_col].dataType
         # rows are numbered once, in what is written: they are documents of their own, whatever their id
         texts = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("key"), F.col(text_col).cast("string").alias("text"))
-        passes = -(-vocabulary.count() // VOCABULARY)
-        parts = []
-        for i in range(passes):  # a slice of the vocabulary is bounded; there is one unless there are very many queries
-            some = vocabulary.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i) if passes > 1 else vocabulary
-            known = np.sort(np.array([r[0] for r in some.collect()], np.int64).view(np.uint64))
-            if len(known):
-                parts.append(texts.mapInArrow(_doc_terms(spark.sparkContext.broadcast(known), id_type), f"row long, id {kind}, n long, terms array<long>, counts array<long>"))
-        if not parts:
-            parts.append(texts.limit(0).select("key.row", "key.id", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("terms"), F.array().cast("array<long>").alias("counts")))
-        self.docs = written(parts[0], "docs")
-        some = self.docs.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-        self.n_docs, self.n_terms = some[0], some[1]
-        for more in parts[1:]:
-            self.docs = self.docs.unionByName(written(more, "docs"))
-        self.lists = written(self.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "lists")
-        size = self.lists.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
-        postings = _postings(self.docs)
-        if size[0] <= BROADCAST_ROWS:
-            postings = postings.join(F.broadcast(self.lists), "term")
+        made = _doc_terms(spark.sparkContext.broadcast(vocabulary), to_arrow_type(kind))
+        self.docs = written(texts.mapInArrow(made, f"row long, id {kind.simpleString()}, n long, terms array<long>, counts array<long>"), "docs")
+        self.n_rows, self.n_docs, self.n_terms = self.docs.agg(F.count("*"), F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.docs = self.docs.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-self.n_rows // SHARD)))))
+        lists = written(self.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "lists")
+        each = F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("tf"))).alias("x")
+        postings = self.docs.select("shard", "row", "n", each).select("shard", "row", "n", "x.term", "x.tf")
+        postings = postings.join(F.broadcast(lists), "term")  # no more rows than the vocabulary
+        groups = _with_impact(postings, self.n_docs, self.n_terms).groupBy("shard", "term", "impact").agg(F.collect_list("row").alias("rows"))
+        self.groups = written(groups.sortWithinPartitions("shard", F.desc("impact")), "groups")
+
+
+class Shard:
+    """A shard's postings, term after term, each with its impacts from the highest on."""
+
+    def __init__(self, groups: pa.Table, docs: pa.Table):
+        docs = docs.select(["row", "id"]).sort_by([("row", "ascending")])
+        self.docs, rows = docs, docs["row"].to_numpy()
+        place = pc.sort_indices(docs, sort_keys=[("id", "ascending"), ("row", "ascending")], null_placement="at_end").to_numpy()
+        self.place = np.empty(len(place), np.int64)  # of a document in the order of ids
+        self.place[place] = np.arange(len(place))
+        groups = groups.select(["term", "impact", "rows"]).sort_by([("term", "ascending"), ("impact", "descending")])
+        lens = pc.list_value_length(groups["rows"]).to_numpy()
+        self.at = np.searchsorted(rows, pc.list_flatten(groups["rows"]).to_numpy())
+        self.impact = np.repeat(groups["impact"].to_numpy(), lens)
+        names, first = np.unique(np.repeat(groups["term"].to_numpy(), lens), return_index=True)
+        ends = [*first[1:].tolist(), len(self.at)]
+        self.lists = {t: (a, b) for t, a, b in zip(names.tolist(), first.tolist(), ends, strict=True)}
+
+    def search(self, query: list[tuple[int, int]], k: int, floor: int, steps: int | None):
+        """(documents, scores) of the k best with a score of ``floor`` or more; after ``steps`` the best partial scores."""
+        lists = [[*self.lists[t], times] for t, times in query if t in self.lists]  # start of what is left, end, repeats
+        scores, step = np.zeros(len(self.place), np.int64), 0
+        most = max((int(self.impact[a]) for a, _, _ in lists), default=0)
+        while True:
+            rest = sum(int(self.impact[a]) * times for a, b, times in lists if a < b)
+            worst = max(floor, int(np.partition(scores, -k)[-k]) if len(scores) >= k else 0, 1)
+            if not rest or rest < worst or step == steps:
+                break
+            step, most = step + 1, most * STEP
+            for x in lists:
+                a, b, times = x
+                if a < b and self.impact[a] >= most:
+                    end = a + int(np.searchsorted(-self.impact[a:b], -most, "right"))
+                    scores[self.at[a:end]] += self.impact[a:end] * times
+                    x[0] = end
+        if step == steps:
+            able = scores > 0
         else:
-            postings = join_groups(postings, self.lists, ["term"], "df", size[1])
-        chunk = F.pmod(F.xxhash64("row"), F.floor(F.col("df") / CHUNK) + 1).alias("chunk")
-        groups = _with_impact(postings, self.n_docs, self.n_terms).groupBy("term", "impact", chunk).agg(F.collect_list("row").alias("rows"))
-        self.groups = written(groups.withColumn("size", F.size("rows").cast("long")).sortWithinPartitions(F.desc("impact")), "groups")
-        self.ladder = written(self.groups.groupBy("term", "impact").agg(F.sum("size").alias("size")), "ladder")
-
-
-def _schedule(asked: DataFrame, index: ImpactIndex, k: int) -> DataFrame:
-    """(query, term, times, impact, size, turn): in which round each query takes each impact of its terms, the highest first."""
-    steps = asked.join(index.ladder, "term")
-    over = Window.partitionBy("query").orderBy(F.desc("impact")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    turn = F.greatest(F.lit(0), F.ceil(F.log(F.sum("size").over(over) / (FIRST * k)) / F.log(F.lit(float(GROWTH))))).cast("int")
-    return steps.withColumn("turn", turn).select("query", "term", "times", "impact", "size", "turn")
-
-
-def _bounds(schedule: DataFrame, asked: DataFrame, turns: int) -> DataFrame:
-    """(query, turn, rest, left, n_terms): what a document can still get after a round at most, by the highest impact of each
-    term that is not yet taken, and how many postings are left."""
-    after = schedule.groupBy("query", "term", "times", "turn").agg(F.max("impact").alias("impact"), F.sum("size").alias("size"))
-    each = after.withColumn("done", F.explode(F.sequence(F.lit(-1), F.col("turn") - 1)))
-    each = each.groupBy("query", "term", "done").agg(F.max(F.col("impact") * F.col("times")).alias("most"), F.sum("size").alias("size"))
-    rest = each.groupBy("query", F.col("done").alias("turn")).agg(F.sum("most").alias("rest"), F.sum("size").alias("left"))
-    every = asked.groupBy("query").agg(F.count("*").alias("n_terms")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns))))
-    return every.join(rest, ["query", "turn"], "left").na.fill(0, ["rest", "left"])
-
-
-def _first(scores: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The k highest scores of each query with their rank. Rows beyond a task's first k are left out before they are dealt out."""
-    over = Window.partitionBy("query").orderBy(F.desc("score"), *order)
+            able = scores + rest >= worst
+            for a, b, times in lists:
+                met = able[self.at[a:b]]
+                scores[self.at[a:b][met]] += self.impact[a:b][met] * times
+            able &= scores >= worst
+        able = np.flatnonzero(able)
+        best = able[np.lexsort((self.place[able], -scores[able]))[:k]]
+        return best, scores[best]
+
+
+def _in_shards(queries, k: int, steps: int | None, floors: dict[int, int] | None, id_type):
+    def run(groups, docs):
+        shard, asked = Shard(groups, docs), queries.value
+        number, found, scores = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q, terms in asked.items():
+            best, score = shard.search(terms, k, floors.get(q, 0) if floors else 0, steps)
+            number += [q] * len(best)
+            found.append(best)
+            scores.append(score)
+        rows = shard.docs.take(pa.array(np.concatenate(found)))
+        cols = [pa.array(number, pa.int64()), rows["row"], rows["id"].cast(id_type), pa.array(np.concatenate(scores))]
+        return pa.Table.from_arrays(cols, names=["query", "row", "id", "score"])
+
+    return run
+
+
+def _first(scores: DataFrame, k: int) -> DataFrame:
+    """The k highest scores of each query with their rank, equal ones by id (null last). Rows beyond a task's first k are left
+    out before they are dealt out."""
+    over = Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "row")
     return scores.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
 
 
+def _search(docs: DataFrame, asked: list, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(query, rank, id, score) for queries given as rows of query, term and times."""
+    queries: dict[int, list[tuple[int, int]]] = {}
+    for q, term, times in asked:
+        queries.setdefault(q, []).append((term, times))
+    vocabulary = np.unique(np.array([r[1] for r in asked], np.int64).view(np.uint64))
+    index, kind = ImpactIndex(docs, vocabulary, id_col, text_col), docs.schema[id_col].dataType
+    sent = docs.sparkSession.sparkContext.broadcast(queries)
+
+    def scores(steps, floors):
+        both = index.groups.groupBy("shard").cogroup(index.docs.select("shard", "row", "id").groupBy("shard"))
+        return both.applyInArrow(_in_shards(sent, k, steps, floors, to_arrow_type(kind)), f"query long, row long, id {kind.simpleString()}, score long")
+
+    best = _first(scores(PILOT, None), k).groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
+    floors = {r["query"]: r["worst"] for r in best.filter(F.col("n") == k).collect()}  # a number a query of this pass
+    return _first(scores(None, floors), k).select("query", "rank", "id", "score")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text: str = "text") -> DataFrame:
     """One row for each query and rank: query, rank (from 1), id, score; the k best rows of ``docs`` with a score above 0.
 
@@ -158,55 +201,24 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "doc_
     Rows that repeat an id are documents of their own, ranked in any order among themselves; queries that repeat
     an id are one, with the terms of all. Null texts have no terms, and a query none of whose terms occurs has
     no row. Terms are told apart by names of 64 bits. Other columns are ignored; an empty table gives no rows.
+    Queries are searched for in passes of about ``TERMS`` terms together.
     """
     kind = queries.schema[query_col].dataType
     texts = queries.select(F.col(query_col).alias("query"), F.col(query_text).cast("string").alias("text"))
     asked = texts.mapInArrow(_query_terms(to_arrow_type(kind)), f"query {kind.simpleString()}, terms array<long>, counts array<long>")
     asked = asked.select("query", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("times"))).alias("x"))
     asked = written(asked.groupBy("query", "x.term").agg(F.sum("x.times").alias("times")), "asked")
+    # from here on queries go by number, as a null id is a query's too
     numbers = written(asked.select("query").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
-    few = F.broadcast if numbers.count() <= BROADCAST_ROWS else lambda df: df
-    # a null id of a query is a query too: from here on queries go by number
-    on = F.col("asked.query").eqNullSafe(F.col("numbers.query"))
-    asked = written(asked.alias("asked").join(few(numbers.alias("numbers")), on).select(F.col("number").alias("query"), "term", "times"), "asked")
-    index = ImpactIndex(docs, asked.select("term").distinct(), id_col, text_col)
-    schedule = written(_schedule(asked, index, k).repartition("turn", "query"), "schedule")
-    turns = schedule.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
-    bounds = written(_bounds(schedule, asked, turns), "bounds")
-    ready, going, sums = [], bounds.filter("turn = 0").select("query"), None
-    for turn in range(turns + 1):
-        steps = schedule.filter(F.col("turn") == turn).join(few(going), "query", "left_semi").select("query", "term", "impact", "times")
-        met = index.groups.join(steps, ["term", "impact"]).select("query", (F.col("impact") * F.col("times")).alias("score"), F.explode("rows").alias("row"))
-        if sums is not None:
-            met = met.unionByName(sums.join(few(going), "query", "left_semi"))
-        now = bounds.filter(F.col("turn") == turn)
-        sums = written(met.groupBy("query", "row").agg(F.sum("score").alias("score")), "sums")
-        worst = _first(sums, k).groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
-        worst = now.join(worst, "query").withColumn("worst", F.when(F.col("n") >= k, F.col("worst")).otherwise(0)).drop("n", "turn")
-        # what can't get among the first k any more is left out; should it come back with less, it can't either
-        able = sums.join(few(worst), "query").filter(F.col("score") + F.col("rest") >= F.col("worst"))
-        state = able.groupBy("query", "worst", "rest", "left", "n_terms").agg(F.count("*").alias("n"))
-        proven = (F.col("rest") < F.col("worst")) & (F.col("n") * F.col("n_terms") <= F.col("left")) | (F.col("left") == 0)
-        state = written(state.withColumn("proven", proven), "state")
-        able = sums.join(few(state), "query").filter(F.col("score") + F.col("rest") >= F.col("worst"))
-        ready.append(able.filter("proven").select("query", "row"))
-        sums, going = able.filter("NOT proven").select("query", "score", "row"), state.filter("NOT proven").select("query")
-        if going.isEmpty():
-            break
-    found = ready[0]
-    for more in ready[1:]:
-        found = found.unionByName(more)
-    out = _complete(written(found, "candidates"), asked, index, k)
-    return out.join(few(numbers.withColumnRenamed("query", "name")), out["query"] == F.col("number")).select(F.col("name").alias(query_col), "rank", F.col("id").alias(id_col), "score")
-
-
-def _complete(found: DataFrame, asked: DataFrame, index: ImpactIndex, k: int) -> DataFrame:
-    """The first k of each query among (query, row), by their whole scores."""
-    own = _postings(index.docs.join(_few(written(found.select("row").distinct(), "rows")), "row", "left_semi"))
-    own = _with_impact(own.join(_few(index.lists), "term"), index.n_docs, index.n_terms).select("row", "id", "term", "impact")
-    each = own.join(_few(asked), "term").join(found, ["query", "row"])
-    scores = each.groupBy("query", "row").agg(F.first("id").alias("id"), F.sum(F.col("impact") * F.col("times")).alias("score"))
-    return _first(scores.filter("score > 0"), k, F.col("id").asc_nulls_last(), F.col("row"))
+    on = F.col("a.query").eqNullSafe(F.col("n.query"))
+    asked = written(asked.alias("a").join(numbers.alias("n"), on).select(F.col("number").alias("query"), "term", "times"), "asked")
+    passes, out = max(1, -(-asked.count() // TERMS)), None
+    for i in range(passes):
+        some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i).collect()
+        found = _search(docs, some, k, id_col, text_col)
+        out = found if out is None else out.unionByName(found)
+    out = out.join(numbers.withColumnRenamed("query", "name"), out["query"] == F.col("number"))
+    return out.select(F.col("name").alias(query_col), "rank", F.col("id").alias(id_col), "score")
 
 
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

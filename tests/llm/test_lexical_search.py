@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossa.llm import lexical_search as ls
@@ -54,31 +55,31 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("first", "k"), [(64, 20), (1, 3), (0.02, 5)])
-def test_equals_exhaustive_scores_wherever_rounds_end(spark, corpus, monkeypatch, first, k):
-    monkeypatch.setattr(ls, "FIRST", first)
-    monkeypatch.setattr(ls, "CHUNK", 64)
+@pytest.mark.parametrize(("shard", "pilot", "step", "k"), [(4096, 3, 0.6, 20), (64, 1, 0.9, 3), (300, 9, 0.1, 5)])
+def test_equals_exhaustive_scores_however_it_is_dealt(spark, corpus, monkeypatch, shard, pilot, step, k):
+    for name, value in (("SHARD", shard), ("PILOT", pilot), ("STEP", step)):
+        monkeypatch.setattr(ls, name, value)
     queries = [(1, "w1 w2 Ünï3 Ünï3"), (2, "Ünï7 w3"), (3, ""), (4, None), (5, "nowhere"), (6, " ".join(f"w{i} Ünï{i}" for i in range(12))), (7, "W1"), (None, "w4 ünï4 ÜNï4")]
     got = found(ls.search(docs(spark, corpus), items(spark, queries), k))
     assert got == plainly(corpus, queries, k)
 
 
-def test_vocabulary_in_several_passes(spark, corpus, monkeypatch):
-    monkeypatch.setattr(ls, "VOCABULARY", 5)
+def test_queries_in_several_passes(spark, corpus, monkeypatch):
+    monkeypatch.setattr(ls, "TERMS", 5)
     queries = [(1, "w1 w2 Ünï3 Ünï3"), (6, " ".join(f"w{i} Ünï{i}" for i in range(12)))]
     assert found(ls.search(docs(spark, corpus[:200]), items(spark, queries))) == plainly(corpus[:200], queries, 20)
 
 
-def test_stops_before_all_postings_are_taken(spark, monkeypatch):
-    """A query with rare and very common words is done without the common ones' postings."""
-    rows = [(i, "the of and " * 5 + f"x{i}" + (" Rare word" if i % 100 == 0 else "")) for i in range(2000)]
-    monkeypatch.setattr(ls, "FIRST", 1)
-    taken = []
-    joined = ls._first
-    monkeypatch.setattr(ls, "_first", lambda s, *a: taken.append(s.count()) or joined(s, *a))
-    queries = [(1, "the of and rare word")]
-    assert found(ls.search(docs(spark, rows), items(spark, queries), 5)) == plainly(rows, queries, 5)
-    assert max(taken) < 100
+def test_stops_when_bounds_prove_the_first_k():
+    """A very common term's postings count in full for what can still be among the first, and no floor lets a better one go."""
+    rare, common = [([1], 100 + i) for i in range(6)], [([2], 5)]
+    groups = pa.table({"term": [t[0] for t, _ in rare + common], "impact": [x for _, x in rare + common], "rows": [[i] for i in range(6)] + [list(range(1000))]})
+    shard = ls.Shard(groups, pa.table({"row": range(1000), "id": range(1000)}))
+    best, scores = shard.search([(1, 1), (2, 1)], 3, 0, None)
+    assert best.tolist() == [5, 4, 3] and scores.tolist() == [110, 109, 108]
+    best, scores = shard.search([(1, 1), (2, 1)], 3, 107, None)
+    assert scores.tolist() == [110, 109, 108]
+    assert len(shard.search([(1, 1), (2, 1)], 3, 111, None)[0]) == 0
 
 
 def test_empty_tables(spark, corpus):

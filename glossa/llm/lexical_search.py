@@ -117,7 +117,7 @@ class Shard:
         self.at = np.searchsorted(rows, pc.list_flatten(groups["rows"]).to_numpy())
         self.impact = np.repeat(groups["impact"].to_numpy(), lens)
         names, first = np.unique(np.repeat(groups["term"].to_numpy(), lens), return_index=True)
-        ends = [*first[1:].tolist(), len(self.at)]
+        ends = [*first[1:].tolist(), len(self.at)][: len(first)]  # none where the shard has no posting
         self.lists = {t: (a, b) for t, a, b in zip(names.tolist(), first.tolist(), ends, strict=True)}
 
     def search(self, query: list[tuple[int, int]], k: int, floor: int, steps: int | None):

@@ -24,20 +24,43 @@ class DigestIndex:
     """A table (digest, keep_id, group_size), bucketed and sorted by digest, kept under ``path``.
 
     New data is reduced to one entry a digest, sort-merge anti-joined with the index and appended. As the
-    table is bucketed by its join key, neither join shuffles the index. A path that holds an index is opened
-    as it is, in another session too, with the number of buckets that it was made with.
+    table is bucketed by its join key, neither join shuffles the index. The number of buckets and the type of
+    ids are written beside the data: a path that holds an index is opened with those, in any session, and
+    raises if it is asked for others; so does a table's name. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None, buckets: int | None = None, id_type: str = "bigint"):
+    def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None, buckets: int | None = None, id_type: str | None = None):
         self.spark, self.table = spark, table or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(self.table):
+        known = spark.catalog.tableExists(self.table)
+        if known:
+            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {self.table}").collect()}
+            made = (int(told.get("Num Buckets", 0)), told["keep_id"])
+        else:
             path = path or fresh_path(spark, "digest-index")
+            made = self._made(path)
+        asked = (buckets or made and made[0] or int(spark.conf.get("spark.sql.shuffle.partitions")), id_type or made and made[1] or "bigint")
+        if made and made != asked:
+            raise ValueError(f"the index has {made[0]} buckets and ids of type {made[1]}, not {asked[0]} and {asked[1]}")
+        self.buckets, self.id_type = asked
+        if not known:
+            if not made:
+                spark.createDataFrame([asked], "buckets int, id_type string").write.parquet(f"{path}/_made")
             spark.sql(
-                f"CREATE TABLE {self.table} (digest BINARY, keep_id {id_type}, group_size BIGINT) USING parquet "
+                f"CREATE TABLE {self.table} (digest BINARY, keep_id {self.id_type}, group_size BIGINT) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
             )
 
+    def _made(self, path: str) -> tuple[int, str] | None:
+        """What the index at ``path`` was made with; None if there is none. Data without that note is refused."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_made")):
+            return tuple(self.spark.read.parquet(f"{path}/_made").first())
+        if fs.exists(at) and len(fs.listStatus(at)):
+            raise ValueError(f"{path} has files, but no note of an index's buckets")
+        return None
+
     def frame(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -95,3 +118,30 @@ SELECT doc_id,
 FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
+
+
+def digest_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two batches, first even ids, through an index that is closed and opened again by its path."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "digest-index")
+    out = []
+    for i in (0, 1):
+        index = DigestIndex(spark, path=path)
+        out.append(written(dedup(docs.filter(F.pmod("doc_id", F.lit(2)) == i), index), "batch"))
+        spark.sql(f"DROP TABLE {index.table}")  # the name only
+    return out[0].unionByName(out[1])
+
+
+BATCHES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, doc_id % 2 AS batch, length(coalesce(text, '')) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+e AS (SELECT *, min(batch) OVER (PARTITION BY text_sha256) AS made FROM d)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) FILTER (batch = made) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept,
+       text_sha256
+FROM e
+WINDOW w AS (PARTITION BY text_sha256 ORDER BY batch, n DESC, doc_id)
+"""

@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "digest_index_batches": exact_dedup.digest_index_batches,
         "op10_mix_sources": mixing.op10_mix_sources,
         "op11_jaccard_join": jaccard_join.op11_jaccard_join,
         "op12_fill_middle": fill_middle.op12_fill_middle,
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.OP5_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "digest_index_batches": exact_dedup.BATCHES_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
         "op11_jaccard_join": jaccard_join.OP11_SQL,
         "op12_fill_middle": fill_middle.OP12_SQL,

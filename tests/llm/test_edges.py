@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glossa.llm import exact_dedup, language_id, language_model, mixing, near_dedup, quality, url_filter
@@ -34,6 +35,26 @@ def test_digest_index_is_opened_by_path(spark, tmp_path):
     assert got == {4: 4, 5: 4, 6: 6, 7: 7} and again.frame().count() == 4
 
 
+@pytest.mark.parametrize("partitions", [4, 8, 16])
+def test_digest_index_keeps_its_number_of_buckets(spark, tmp_path, partitions):
+    """An index of 8 buckets knows every text that it was given, whatever the session's number of partitions."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    path, own = f"file://{tmp_path}/index", spark.conf.get("spark.sql.shuffle.partitions")
+    exact_dedup.dedup(rows, exact_dedup.DigestIndex(spark, path=path, table=f"made_{partitions}", buckets=8))
+    spark.sql(f"DROP TABLE made_{partitions}")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        again = exact_dedup.DigestIndex(spark, path=path, table=f"opened_{partitions}")
+        got = exact_dedup.dedup(rows.withColumn("doc_id", F.col("doc_id") + 1000), again)
+        assert got.filter("kept").count() == 0 and again.frame().count() == 200 and again.buckets == 8
+        assert exact_dedup.DigestIndex(spark, table=f"opened_{partitions}").buckets == 8
+        for odd in ({"path": path, "buckets": 4}, {"path": path, "id_type": "string"}, {"table": f"opened_{partitions}", "buckets": 16}, {"path": f"file://{tmp_path}"}):
+            with pytest.raises(ValueError, match="index"):
+                exact_dedup.DigestIndex(spark, **odd)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 def test_exact_dedup_of_equal_lengths_repeats_and_null_ids(spark):
     rows = [(5, "ab c"), (4, "a bc"), (4, "a bc"), (None, "abc "), (None, "z"), (9, " z")]
     got = sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())

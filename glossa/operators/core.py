@@ -77,17 +77,16 @@ FEATURES: dict[str, Callable[[], Column]] = {
 
 
 def _beside(step: int, edge: str) -> Callable[[], Column]:
-    """The Penn tag of the word before or after, or the edge's mark; the first of equal words counts."""
+    """The Penn tag of the word before or after, or the edge's mark: by the row's position (from 0) in its identifier."""
 
     def column() -> Column:
-        words = F.split(F.trim("split_identifier"), r"\s+")
-        at = F.array_position(F.split(F.lower(F.trim("split_identifier")), r"\s+"), F.lower("word")).cast("int") + step
-        other = F.when(at > 0, F.try_element_at(words, F.greatest(at, F.lit(1))))
+        other = F.get(F.split(F.trim("split_identifier"), r"\s+"), F.col("position") + step)
         return F.when(other.isNull(), edge).otherwise(penn(other))
 
     return column
 
 
+#: These need a row's position as well, since an identifier may repeat a word.
 FEATURES |= {"PREV_POS": _beside(-1, "START"), "NEXT_POS": _beside(1, "END")}
 
 

@@ -24,10 +24,10 @@ def word_rows(idents: DataFrame, scored: DataFrame | None = None, key: str = "id
     scores = [n for n in lx.MODEL_FEATURES if scored is not None and n in scored.columns]
     rows = with_scores(rows, scored.select("word", *scores)) if scores else rows
     names = [n for n in lx.MODEL_FEATURES if n in FEATURES and n not in lx.DROPPED_FEATURES]
-    rows = featurize(rows.withColumnRenamed("position", "at"), names)
+    rows = featurize(rows, names)
     number = lambda n: lx.coarse_number(F.col(n)) if n in PENN_COLUMNS else F.col(n)
     columns = [F.coalesce(number(n).cast("double"), F.lit(0.0)).alias(n) for n in [*names, *scores, "CONTEXT_NUMBER"]]
-    return rows.select(key, F.col("at").alias("position"), "word", *columns)
+    return rows.select(key, "position", "word", *columns)
 
 
 def feature_columns(rows: DataFrame, key: str = "id") -> list[str]:

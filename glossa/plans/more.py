@@ -12,7 +12,7 @@ from ..operators import cache, models, scores, tagger
 from ..operators import core as op
 from ..sources import readers
 from ..sources.working import scratch, written
-from .catalogue import LABEL_IDS, case, doc_words, idents, query, quoted, read, tagged
+from .catalogue import LABEL_IDS, PENN_SQL, case, doc_words, idents, query, quoted, read, tagged
 
 # --- embeddings of words: each word has the vector at a place that its hash names; words whose hash begins with 0 have none
 
@@ -89,9 +89,13 @@ def vector_fetch(spark, d):
 # --- features, tags and labels
 
 @query(f"""SELECT id, position, lag(penn, 1, 'START') OVER o AS PREV_POS, lead(penn, 1, 'END') OVER o AS NEXT_POS
-  FROM tagged WINDOW o AS (PARTITION BY id ORDER BY position)""")
+  FROM (SELECT id, position, {PENN_SQL} AS penn FROM (
+    SELECT id, unnest(list_concat(words, words)) AS word, unnest(range(0, 2 * len(words)))::INT AS position FROM idents))
+  WINDOW o AS (PARTITION BY id ORDER BY position)""")
 def neighbour_features(spark, d):
-    rows = op.explode_words(idents(spark, d).withColumn("split_identifier", F.array_join("words", " ")))
+    """Of identifiers that have each word twice, as names such as get_name_get_size repeat words."""
+    rows = idents(spark, d).withColumn("words", F.concat("words", "words"))
+    rows = op.explode_words(rows.withColumn("split_identifier", F.array_join("words", " ")))
     return op.featurize(rows, ["PREV_POS", "NEXT_POS"]).select("id", "position", "PREV_POS", "NEXT_POS")
 
 
@@ -183,6 +187,14 @@ def delimited_file(spark, d):
     return readers.align(readers.read_delimited(spark, path, sep="\t"), ["p_partkey", "p_name", "p_brand", "p_type"])
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, text, lang, source FROM documents")
+def delimited_texts_file(spark, d):
+    """Whole texts, with the line ends, quotes, separators and outer blanks that they have."""
+    path, columns = scratch(spark, "texts"), ["doc_id", "text", "lang", "source"]
+    readers.write_delimited(read(spark, d, "documents").select(*columns), path)
+    return readers.read_delimited(spark, path).select(*columns)
+
+
 @query("SELECT conv_id, role AS word, turn FROM conversations")
 def word_lines_file(spark, d):
     path = scratch(spark, "word-lines")

@@ -31,9 +31,18 @@ def align(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
+#: How delimited files are written and read: quotes are doubled, blanks kept, null is nothing and empty text two quotes.
+DELIMITED = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\u0000", "emptyValue": ""}
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", infer: bool = False, schema: str | None = None) -> DataFrame:
-    """CSV or TSV with a header. Columns are strings unless inferred; the words null and NA stay words; spaces in names become _."""
-    reader = spark.read.option("header", True).option("sep", sep).option("nullValue", "\u0000").option("emptyValue", "").option("inferSchema", infer)
+    """CSV or TSV with a header. Columns are strings unless inferred; the words null and NA stay words; spaces in names become _.
+
+    A field in quotes may hold separators, line ends and doubled quotes, and blanks around a field are its own.
+    A field that is empty without quotes is null, with quotes empty. Files are read whole by one task each, as
+    line ends may be inside of fields.
+    """
+    reader = spark.read.options(header=True, sep=sep, inferSchema=infer, **DELIMITED)
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.toDF(*[re.sub(r"\s+", "_", c.strip()) for c in df.columns])
 
@@ -103,7 +112,10 @@ def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, header: bool = True, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
+    """Any text comes back from ``read_delimited``: line ends, quotes, separators and blanks; empty text is told from null."""
+    options = {**DELIMITED, "nullValue": "", "emptyValue": '""'}
+    texts = [F.col(f"`{c}`") for c in df.columns]
+    df.select(texts).write.mode("overwrite").options(header=header, sep=sep, **options).csv(path)
 
 
 def write_word_counts(counts: DataFrame, path: str, words_a_file: int = 100_000) -> None:

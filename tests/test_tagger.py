@@ -153,6 +153,21 @@ def test_readers(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/r").count() == 3
 
 
+@pytest.mark.parametrize("sep", [",", "\t"])
+def test_delimited_texts_come_back(spark, tmp_path, sep):
+    texts = ["a\nb", " sp ", 'q"uote', "a,b", "", None, "x\r\ny", '""', "null", "NA", '"', "\\", 'a\\"b', "tab\tx", ",", "#c", "end\\"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "i int, a string, `b c` string")
+    readers.write_delimited(df, f"{tmp_path}/d", sep=sep)
+    got = readers.read_delimited(spark, f"{tmp_path}/d", sep=sep).orderBy(F.col("i").cast("int")).collect()
+    assert [(r["a"], r["b_c"]) for r in got] == [(t, t) for t in texts]
+
+
+def test_neighbours_of_repeated_words(spark):
+    rows = core.explode_words(spark.createDataFrame([(["get", "name", "get", "size", "name"],)], "words array<string>").withColumn("split_identifier", F.array_join("words", " ")))
+    got = [(r["PREV_POS"], r["NEXT_POS"]) for r in core.featurize(rows, ["PREV_POS", "NEXT_POS"]).orderBy("position").collect()]
+    assert got == [("START", "NN"), ("VB", "VB"), ("NN", "NN"), ("VB", "NN"), ("NN", "END")]
+
+
 def test_cache(spark, tmp_path):
     store = cache.TagCache(spark, str(tmp_path))
     asked = spark.createDataFrame([("a", "x", "CLASS", "2020-01-01 00:00:00"), ("a", "x", "CLASS", "2020-01-03 00:00:00"), ("b", "x", "CLASS", "2020-01-02 00:00:00")], "cache_id string, name string, context string, t string").withColumn("t", F.col("t").cast("timestamp"))

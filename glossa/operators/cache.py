@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.working import exists
+
 KEY = ["name", "context"]
 ANSWERS = "cache_id string, name string, context string, words string, tag_time timestamp"
 SEEN = "cache_id string, name string, context string, first_encounter timestamp, last_encounter timestamp, cnt bigint"
@@ -22,10 +23,8 @@ class TagCache:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        path = f"{self.path}/{kind}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def add(self, answers: DataFrame) -> None:
         """Append (cache_id, name, context, words), stamped with the time of the call."""
@@ -46,14 +45,16 @@ class TagCache:
         rows = self._read("encounters", SEEN).groupBy("cache_id", *KEY)
         return rows.agg(F.min("first_encounter").alias("first_encounter"), F.max("last_encounter").alias("last_encounter"), F.sum("cnt").alias("cnt"))
 
-    def find(self, cache_id: str, name: str, context: str) -> DataFrame:
+    def find(self, cache_id: str | None, name: str | None, context: str | None) -> DataFrame:
         """One row or none: the answer to a request. The namespace prunes partitions, name and context reach the scan."""
-        hit = (F.col("cache_id") == cache_id) & (F.col("name") == name) & (F.col("context") == context)
+        hit = F.col("cache_id").eqNullSafe(cache_id) & F.col("name").eqNullSafe(name) & F.col("context").eqNullSafe(context)
         return self._read("answers", ANSWERS).filter(hit).orderBy("tag_time", "words").limit(1)
 
     def lookup(self, requests: DataFrame) -> DataFrame:
-        """``requests`` with words and tag_time of their answer, null where the cache has none."""
-        return requests.join(self.answers(), ["cache_id", *KEY], "left")
+        """``requests`` with words and tag_time of their answer, null where the cache has none. Null keys are keys too."""
+        asked, known = requests.alias("r"), self.answers().alias("a")
+        on = [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in ("cache_id", *KEY)]
+        return asked.join(known, on, "left").select("r.*", "a.words", "a.tag_time")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .working import exists
+
 WORD_COUNTS = "word string, log_frequency double"
 
 
@@ -58,11 +59,10 @@ def read_config(spark: SparkSession, path: str) -> dict:
 
 
 def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of counts as (word, log_frequency); a path without files or a broken one gives no rows."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    """A JSON object of counts as (word, log_frequency); a path that names nothing or a broken file gives no rows."""
+    if not exists(spark, path):
         return spark.createDataFrame([], WORD_COUNTS)
+    text = spark.read.text(path, wholetext=True)
     counts = F.from_json("value", "map<string,double>")
     return text.select(F.explode(counts).alias("word", "log_frequency"))
 
@@ -94,19 +94,19 @@ VECTORS = "word string, vec array<float>"
 
 
 def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
-    """(word, vec) from the first of the paths that can be read: Parquet, or text of a word and its numbers a line (.vec, .txt).
+    """(word, vec) from the first of the paths that is there: Parquet, or text of a word and its numbers a line (.vec, .txt).
 
-    Header lines of two numbers are left out. If no path can be read there are no rows, and a warning.
+    Header lines of two numbers are left out. If none is there are no rows, and a warning; a file of other
+    contents raises.
     """
     for path in paths:
-        try:
-            if re.search(r"\.(vec|txt)(\.\w+)?$", path):
-                parts = F.split(F.trim("value"), r"\s+")
-                lines = spark.read.text(path).filter(F.size(parts) > 2)
-                return lines.select(parts[0].alias("word"), F.slice(parts, 2, F.size(parts)).cast("array<float>").alias("vec"))
-            return require_columns(spark.read.parquet(path), ["word", "vec"])
-        except AnalysisException:
+        if not exists(spark, path):
             continue
+        if re.search(r"\.(vec|txt)(\.\w+)?$", path):
+            parts = F.split(F.trim("value"), r"\s+")
+            lines = spark.read.text(path).filter(F.size(parts) > 2)
+            return lines.select(parts[0].alias("word"), F.slice(parts, 2, F.size(parts)).cast("array<float>").alias("vec"))
+        return require_columns(spark.read.parquet(path), ["word", "vec"])
     warnings.warn(f"no vectors at {', '.join(paths) or 'no path'}", stacklevel=2)
     return spark.createDataFrame([], VECTORS)
 

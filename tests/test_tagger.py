@@ -146,6 +146,9 @@ def test_readers(spark, tmp_path):
         assert readers.read_vectors(spark, f"{tmp_path}/no").count() == 0
     (tmp_path / "v.vec").write_text("2 2\na 1 2\nb 3 4.5\n")
     assert sorted((r["word"], r["vec"]) for r in readers.read_vectors(spark, f"{tmp_path}/no", f"{tmp_path}/v.vec").collect()) == [("a", [1, 2]), ("b", [3, 4.5])]
+    spark.range(1).write.parquet(f"{tmp_path}/odd")
+    with pytest.raises(readers.MissingColumns):
+        readers.read_vectors(spark, f"{tmp_path}/odd")
     readers.create_table(spark, "made_here", "a int, b string", "b")
     assert readers.table_exists(spark, "made_here") and not readers.table_exists(spark, "not_made")
     readers.append_report(spark.range(2), f"{tmp_path}/r")
@@ -175,6 +178,9 @@ def test_cache(spark, tmp_path):
     store.add(asked.filter("cache_id = 'a'").limit(1).withColumn("words", F.lit("w")))
     assert store.find("a", "x", "CLASS").first()["words"] == "w" and store.find("b", "x", "CLASS").count() == 0
     assert sorted((r["cache_id"], r["words"]) for r in store.lookup(asked).collect()) == [("a", "w"), ("a", "w"), ("b", None)]
+    nothing = spark.createDataFrame([("a", None, None, "none")], "cache_id string, name string, context string, words string")
+    store.add(nothing)
+    assert [r["words"] for r in store.lookup(nothing.drop("words")).collect()] == ["none"] and store.find("a", None, None).first()["words"] == "none"
     store.encounter(asked, "t")
     store.encounter(asked.limit(1), "t")
     assert sorted((r["cache_id"], r["cnt"], r["last_encounter"].day) for r in store.encounters().collect()) == [("a", 3, 3), ("b", 1, 2)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import words as w
-from ..operators import boosting, crf, perceptron, pieces, segment
+from ..operators import boosting, crf, perceptron, pieces, segment, subwords
 from ..operators import core as op
 from ..sources.working import written
 from .catalogue import LABEL_IDS, case, doc_words, query, read, tagged
@@ -91,6 +91,48 @@ def piece_tagger(spark, d):
     return out.select("id", "is_test", F.array_join("gold", " ").alias("gold"), F.array_join(F.transform("found", tag), " ").alias("tags"))
 
 
+# --- vectors of unknown words
+
+BUCKETS = 199  # fewer than the rows of the smallest table, whose vectors are those of the buckets
+GRAMS_SQL = """grams AS (
+    SELECT word, substr(m, i, n) AS gram FROM (SELECT word, '<' || word || '>' AS m FROM own), unnest(range(3, 7)) AS a(n), unnest(range(1, length(m) - n + 2)) AS b(i)),
+  hashed AS (
+    SELECT gram, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(h), 2), lambda i: CASE WHEN substr(h, i, 1) >= '8' THEN 4294967040 ELSE 0 END + ('0x' || substr(h, i, 2))::BIGINT)),
+      lambda x, b: (xor(x, b) * 16777619) % 4294967296)) % BUCKETS AS bucket
+    FROM (SELECT DISTINCT gram, hex(encode(gram)) AS h FROM grams))""".replace("BUCKETS", str(BUCKETS))
+
+
+@query(f"SELECT * FROM (WITH own AS (SELECT DISTINCT word FROM dw), {GRAMS_SQL} SELECT word, bucket, count(*) AS n FROM grams JOIN hashed USING (gram) GROUP BY ALL)")
+def ngram_buckets(spark, d):
+    """Hashed n-grams of three to six letters of every distinct word of the documents, and how many fall in a bucket."""
+    return subwords.word_buckets(doc_words(spark, d).select("word").distinct(), BUCKETS)
+
+
+@query(f"""SELECT * FROM (WITH own AS (SELECT DISTINCT word FROM iw), {GRAMS_SQL},
+  known AS (SELECT word, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM own JOIN embeddings ON vec_id = length(word) + {BUCKETS} WHERE word < 'm'),
+  parts AS (SELECT word, i, avg(embedding[i]::DOUBLE) AS x FROM grams JOIN hashed USING (gram) JOIN embeddings ON vec_id = bucket, unnest(range(1, 65)) AS r(i)
+    WHERE word NOT IN (SELECT word FROM known) GROUP BY ALL),
+  made AS (SELECT word, list(x ORDER BY i) AS vec FROM parts GROUP BY word)
+  SELECT id, position, word, CASE WHEN known.vec IS NOT NULL THEN 'own' WHEN made.vec IS NOT NULL THEN 'n-grams' ELSE 'none' END AS origin,
+    round(coalesce(list_sum(known.vec), list_sum(made.vec), 0), 4) AS total, round(sqrt(coalesce(list_sum(list_transform(known.vec, lambda x: x * x)), list_sum(list_transform(made.vec, lambda x: x * x)), 0)), 4) AS length
+  FROM iw LEFT JOIN known USING (word) LEFT JOIN made USING (word))""")
+def unknown_word_vectors(spark, d):
+    """Vectors of identifiers' words: half of the words have their own, the others the mean of their n-grams' buckets."""
+    from ..functions.vectors import norm
+    from .catalogue import idents
+
+    rows = written(op.explode_words(idents(spark, d)), "words")
+    e = read(spark, d, "embeddings")
+    numbered = rows.select("word").distinct().filter("word < 'm'").withColumn("vec_id", F.char_length("word") + BUCKETS)
+    known = numbered.join(e, "vec_id").select("word", F.col("embedding").alias("vec"))
+    table = e.filter(F.col("vec_id") < BUCKETS).select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vec"))
+    made = subwords.subword_vectors(rows.join(known, "word", "left_anti"), table, BUCKETS).select("word", F.lit(True).alias("made"))
+    out = subwords.fetch_with_subwords(rows.select("id", "position", "word"), known, table, 64, BUCKETS)
+    out = out.join(known.select("word", F.lit(True).alias("own")), "word", "left").join(made, "word", "left")
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return out.select("id", "position", "word", F.when(F.col("own"), "own").when(F.col("made"), "n-grams").otherwise("none").alias("origin"), F.round(total, 4).alias("total"), F.round(norm(F.col("vec")), 4).alias("length"))
+
+
 # --- sequences of roles: a turn's role is told by its text and by the turns around it, neither alone
 
 def role_sequences(spark: SparkSession, d: str, slots: int) -> DataFrame:

@@ -259,6 +259,36 @@ def cache_encounters(spark, d):
     return store.encounters().select("name", "context", us("first_encounter").alias("first_us"), us("last_encounter").alias("last_us"), "cnt")
 
 
+def user_requests(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", "event_type", F.lit("a").alias("cache_id"), F.col("user_id").cast("string").alias("name"), F.lit("USER").alias("context"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("SELECT user_id::VARCHAR AS name, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS cnt FROM events GROUP BY ALL")
+def compacted_encounters(spark, d):
+    """Encounters in a batch a kind of event and every batch sent twice, as merged runs of two levels or more."""
+    store = cache.TagCache(spark, scratch(spark, "cache"), buckets=4, fan=2)
+    e = user_requests(spark, d)
+    kinds = sorted(r[0] or "" for r in e.select("event_type").distinct().collect())
+    for i, kind in enumerate(kinds):
+        for _ in range(2):  # counted once
+            store.encounter(e.filter(F.coalesce("event_type", F.lit("")) == kind), "ts", "kinds", i)
+    us = lambda c: F.unix_micros(F.col(c))
+    return store.encounters().select("name", us("first_encounter").alias("first_us"), us("last_encounter").alias("last_us"), "cnt")
+
+
+@query("""SELECT event_id, 'user ' || user_id AS words, b AND n > 0 AS hit, CASE WHEN b AND n > 0 THEN n END AS cnt, CASE WHEN b AND n > 0 THEN t END AS first_us
+  FROM (SELECT *, event_type IS DISTINCT FROM 'purchase' AS b, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS n,
+    epoch_us(min(ts) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id)) AS t FROM events)""")
+def answered_requests(spark, d):
+    """Requests for a user's tag, purchases first: a batch's misses are tagged once a key; hits tell what had been seen before the batch."""
+    from ..streaming.encounters import answer_batch
+
+    store = cache.TagCache(spark, scratch(spark, "cache"))
+    e, tag, first = user_requests(spark, d), F.concat(F.lit("user "), "name"), F.col("event_type").eqNullSafe("purchase")
+    parts = [answer_batch(store, e.filter(p), "ts", tag, "requests", i) for i, p in enumerate((first, ~first))]
+    return op.union_all(parts).select("event_id", "words", "hit", "cnt", F.unix_micros("first_encounter").alias("first_us"))
+
+
 # --- the trained tagger and model selection
 
 def trained(spark, d, algorithm="rf"):

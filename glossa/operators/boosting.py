@@ -104,33 +104,41 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def node_sums(bins: np.ndarray, label: np.ndarray, scores: np.ndarray, trees: list[Tree], level: int, n_bins: int) -> np.ndarray:
+    """(class, 3, node x feature x bin) of rows: sums of gradients, curvatures and rows at the nodes of a level."""
+    low, width, n_features = 2**level - 1, 2**level, bins.shape[1]
+    sums, p = np.zeros((len(trees), 3, width * n_features * n_bins)), _softmax(scores)
+    for k, tree in enumerate(trees):
+        node = tree.nodes(bins, level) - low
+        inside = node >= 0  # rows of leaves above this level are done
+        at = ((node[inside, None] * n_features + np.arange(n_features)) * n_bins + bins[inside]).ravel()
+        g, h = (p[:, k] - (label == k))[inside], (p[:, k] * (1 - p[:, k]))[inside]
+        for i, x in enumerate((g, h, np.ones(len(g)))):
+            sums[k, i] += np.bincount(at, np.repeat(x, n_features), sums.shape[2])
+    return sums
+
+
+def sums_batch(sums: np.ndarray, level: int, n_features: int, n_bins: int) -> pa.RecordBatch:
+    """The cells of ``node_sums`` that have rows, as HISTOGRAM."""
+    k, at = np.nonzero(sums[:, 2])
+    node, rest = np.divmod(at, n_features * n_bins)
+    cols = [k, node + 2**level - 1, rest // n_bins, rest % n_bins]
+    cols = [*(pa.array(c.astype(np.int32)) for c in cols), pa.array(sums[k, 0, at]), pa.array(sums[k, 1, at]), pa.array(sums[k, 2, at].astype(np.int64))]
+    return pa.RecordBatch.from_arrays(cols, names=["class", "node", "feature", "bin", "g", "h", "n"])
+
+
 def histograms(rows: DataFrame, trees: list[Tree], level: int, n_features: int, n_bins: int = BINS) -> DataFrame:
     """HISTOGRAM of rows (bins, label, scores): sums of gradients, curvatures and rows by class, node of the level, feature and bin."""
     sent, classes = rows.sparkSession.sparkContext.broadcast(trees), len(trees)
 
     def run(batches):
-        low, width = 2**level - 1, 2**level
-        size, sums = width * n_features * n_bins, None
+        sums = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            if sums is None:
-                sums = np.zeros((classes, 3, size))
-            bins, label = _matrix(b.column(0), n_features, np.int64), b.column(1).to_numpy()
-            p = _softmax(_matrix(b.column(2), classes))
-            for k, tree in enumerate(sent.value):
-                node = tree.nodes(bins, level) - low
-                inside = node >= 0  # rows of leaves above this level are done
-                at = ((node[inside, None] * n_features + np.arange(n_features)) * n_bins + bins[inside]).ravel()
-                g, h = (p[:, k] - (label == k))[inside], (p[:, k] * (1 - p[:, k]))[inside]
-                for i, x in enumerate((g, h, np.ones(len(g)))):
-                    sums[k, i] += np.bincount(at, np.repeat(x, n_features), size)
+            if b.num_rows:
+                more = node_sums(_matrix(b.column(0), n_features, np.int64), b.column(1).to_numpy(), _matrix(b.column(2), classes), sent.value, level, n_bins)
+                sums = more if sums is None else sums + more
         if sums is not None:
-            k, at = np.nonzero(sums[:, 2])
-            node, rest = np.divmod(at, n_features * n_bins)
-            cols = [k, node + low, rest // n_bins, rest % n_bins]
-            cols = [*(pa.array(c.astype(np.int32)) for c in cols), pa.array(sums[k, 0, at]), pa.array(sums[k, 1, at]), pa.array(sums[k, 2, at].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["class", "node", "feature", "bin", "g", "h", "n"])
+            yield sums_batch(sums, level, n_features, n_bins)
 
     made = rows.select("bins", "label", "scores").mapInArrow(run, HISTOGRAM)
     return made.groupBy("class", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
@@ -147,23 +155,28 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l2: float, least: in
     return (float(gain[f, b]), int(f), int(b)) if gain[f, b] > 1e-9 else (0.0, -1, 0)
 
 
+def split_level(trees: list[Tree], t: pa.Table, level: int, n_features: int, bins: int, rate: float, l2: float, least: int) -> None:
+    """Sets values and, above the last level, splits of the nodes of a level from their HISTOGRAM."""
+    key = [t[c].to_numpy() for c in ("class", "node", "feature", "bin")]
+    sums = np.zeros((3, len(trees), 2**level, n_features, bins))
+    for i, c in enumerate("ghn"):
+        sums[i, key[0], key[1] - (2**level - 1), key[2], key[3]] = t[c].to_numpy()
+    for k, tree in enumerate(trees):
+        for node in range(2**level):
+            g, h, n = sums[:, k, node]
+            if not n[0].sum():
+                continue
+            at = node + 2**level - 1
+            tree.value[at] = -rate * g[0].sum() / (h[0].sum() + l2)
+            if level < tree.depth:
+                _, tree.feature[at], tree.split[at] = best_split(g, h, n, l2, least)
+
+
 def _grow(rows: DataFrame, classes: int, n_features: int, bins: int, depth: int, rate: float, l2: float, least: int) -> list[Tree]:
     trees = [Tree(depth) for _ in range(classes)]
     for level in range(depth + 1):
         t = histograms(rows, trees, level, n_features, bins).toArrow()  # classes x nodes x features x bins at most
-        key = [t[c].to_numpy() for c in ("class", "node", "feature", "bin")]
-        sums = np.zeros((3, classes, 2**level, n_features, bins))
-        for i, c in enumerate("ghn"):
-            sums[i, key[0], key[1] - (2**level - 1), key[2], key[3]] = t[c].to_numpy()
-        for k, tree in enumerate(trees):
-            for node in range(2**level):
-                g, h, n = sums[:, k, node]
-                if not n[0].sum():
-                    continue
-                at = node + 2**level - 1
-                tree.value[at] = -rate * g[0].sum() / (h[0].sum() + l2)
-                if level < depth:
-                    _, tree.feature[at], tree.split[at] = best_split(g, h, n, l2, least)
+        split_level(trees, t, level, n_features, bins, rate, l2, least)
     return trees
 
 

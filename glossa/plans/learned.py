@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import words as w
-from ..operators import boosting, crf, perceptron, pieces, segment, subwords
+from ..operators import boosting, crf, halving, perceptron, pieces, segment, subwords
 from ..operators import core as op
 from ..sources.working import written
 from .catalogue import LABEL_IDS, case, doc_words, query, read, tagged
@@ -190,24 +190,37 @@ def crf_tagger(spark, d):
 LETTERS = "abcdefghijklmnopqrstuvwxyzéèêçàñóíáäöüß"
 
 
+def letter_shares(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """(doc_id, lang, features, label, is_test) of every document, and the languages of the table."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    shares = [(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))) / F.greatest(F.char_length(text), F.lit(1)) for c in LETTERS]
+    docs = read(spark, d, "documents")
+    names = sorted(r[0] for r in docs.select("lang").distinct().collect() if r[0] is not None)
+    label = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
+    rows = docs.select("doc_id", "lang", F.array(*shares).alias("features"), label.alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("is_test"))
+    return written(rows, "letters"), names
+
+
 @query()
 def boosted_languages(spark, d):
     """Every document's language as boosted trees tell it by the shares of letters, learned from three documents of four.
 
     Documents of no language are told one as well; those without a letter get what has the highest prior.
     """
-    text = F.lower(F.coalesce("text", F.lit("")))
-    shares = [(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))) / F.greatest(F.char_length(text), F.lit(1)) for c in LETTERS]
-    docs = read(spark, d, "documents")
-    names = sorted(r[0] for r in docs.select("lang").distinct().collect() if r[0] is not None)  # the languages of the table
-    label = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
-    rows = docs.select("doc_id", "lang", F.array(*shares).alias("features"), label.alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("is_test"))
-    rows = written(rows, "letters")
+    rows, names = letter_shares(spark, d)
     model = boosting.fit_boosted(rows.filter("NOT is_test"), len(names), len(LETTERS), rounds=4, depth=3)
     found = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
     return model.transform(rows).select("doc_id", "is_test", "lang", found.alias("predicted"))
 
 
+@query()
+def halving_table(spark, d):
+    """Held-out loss and accuracy of boosted trees for languages by depth, rate and number of rounds, over three folds that share their passes."""
+    rows, names = letter_shares(spark, d)
+    dealt = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"))
+    return halving.search_boosted(dealt, len(names), len(LETTERS), {"depth": [1, 2], "rate": [0.1, 0.5]}, [1, 3], n_folds=3).table
+
+
 @query("""SELECT k::INT AS class, f::INT AS feature, least(greatest(floor((embedding[f + 1]::DOUBLE + 1) * 5), 0), 9)::INT AS bin,
   round(sum(0.1::DOUBLE - (label = k)::INT), 6) + 0::DOUBLE AS g, round(count(*) * 0.09::DOUBLE, 6) AS h, count(*) AS n FROM embeddings, range(10) AS r(k), range(64) AS s(f) GROUP BY ALL""")
 def gradient_histograms(spark, d):

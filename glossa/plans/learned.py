@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from public_tokenizers import path as vocabulary_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import words as w
-from ..operators import boosting, crf, halving, perceptron, pieces, segment, subwords
+from ..operators import boosting, crf, forests, halving, perceptron, pieces, segment, subwords
 from ..operators import core as op
 from ..sources.working import written
 from .catalogue import LABEL_IDS, case, doc_words, query, read, tagged
@@ -201,16 +202,45 @@ def letter_shares(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return written(rows, "letters"), names
 
 
+def _languages(spark: SparkSession, d: str, fit) -> DataFrame:
+    rows, names = letter_shares(spark, d)
+    model = fit(rows.filter("NOT is_test"), len(names), len(LETTERS))
+    found = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
+    return model.transform(rows).select("doc_id", "is_test", "lang", found.alias("predicted"))
+
+
 @query()
 def boosted_languages(spark, d):
     """Every document's language as boosted trees tell it by the shares of letters, learned from three documents of four.
 
     Documents of no language are told one as well; those without a letter get what has the highest prior.
     """
-    rows, names = letter_shares(spark, d)
-    model = boosting.fit_boosted(rows.filter("NOT is_test"), len(names), len(LETTERS), rounds=4, depth=3)
-    found = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
-    return model.transform(rows).select("doc_id", "is_test", "lang", found.alias("predicted"))
+    return _languages(spark, d, lambda rows, k, n: boosting.fit_boosted(rows, k, n, rounds=4, depth=3))
+
+
+@query()
+def forest_languages(spark, d):
+    """The same by extremely randomised trees."""
+    return _languages(spark, d, lambda rows, k, n: forests.fit_extra_trees(rows, k, n, trees=20, depth=6))
+
+
+@query()
+def reweighted_languages(spark, d):
+    """The same by trees that are boosted by weights of documents."""
+    return _languages(spark, d, lambda rows, k, n: forests.fit_reweighted(rows, k, n, rounds=8, depth=3))
+
+
+@query("""SELECT node::INT AS node, f::INT AS feature, least(greatest(floor((embedding[f + 1]::DOUBLE + 1) * 5), 0), 9)::INT AS bin, label::INT AS class,
+  sum(1 + vec_id % 3)::DOUBLE AS w, count(*) AS n FROM (SELECT *, CASE WHEN floor((embedding[1]::DOUBLE + 1) * 5) > 4 THEN 2 ELSE 1 END AS node FROM embeddings), range(64) AS s(f)
+  WHERE label BETWEEN 0 AND 9 GROUP BY ALL""")
+def class_histograms(spark, d):
+    """Weights of rows by class, feature and bin at the two nodes below a split, as trees are grown from them."""
+    e = read(spark, d, "embeddings").filter("label BETWEEN 0 AND 9")
+    bins = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 5), F.lit(0)), F.lit(9)).cast("int"))
+    rows = e.select(bins.alias("bins"), F.col("label").cast("int").alias("label"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"))
+    tree = forests.ClassTree(1, classes=10, drawn=np.tile(np.arange(64), (3, 1)))
+    tree.feature[0], tree.split[0] = 0, 4
+    return forests.class_sums(rows, [tree], 1, 10).select("node", F.col("slot").alias("feature"), "bin", "class", "w", "n")
 
 
 @query()

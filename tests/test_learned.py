@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.mark.parametrize(
     ("name", "table", "gold", "found", "least"),
-    [("crf_roles", "conversations", "role", "predicted", 0.95), ("perceptron_roles", "conversations", "role", "predicted", 0.9), ("crf_tagger", "part", "gold", "tags", 0.95), ("boosted_languages", "documents", "lang", "predicted", 0.9)],
+    [("crf_roles", "conversations", "role", "predicted", 0.95), ("perceptron_roles", "conversations", "role", "predicted", 0.9), ("crf_tagger", "part", "gold", "tags", 0.95), ("boosted_languages", "documents", "lang", "predicted", 0.9),
+     ("forest_languages", "documents", "lang", "predicted", 0.8), ("reweighted_languages", "documents", "lang", "predicted", 0.8)],
 )
 def test_held_out_rows(spark, name, table, gold, found, least):
     rows = entry.queries()[name](spark, SF).collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import words as w
-from ..operators import boosting, crf, forests, halving, perceptron, pieces, segment, subwords
+from ..operators import boosting, crf, forests, halving, neighbours, perceptron, pieces, segment, subwords
 from ..operators import core as op
 from ..sources.working import written
 from .catalogue import LABEL_IDS, case, doc_words, query, read, tagged
@@ -243,6 +243,25 @@ def class_histograms(spark, d):
     return forests.class_sums(rows, [tree], 1, 10).select("node", F.col("slot").alias("feature"), "bin", "class", "w", "n")
 
 
+NEAREST_SQL = """near AS (SELECT q.vec_id AS query, t.vec_id AS key, t.label, list_distance(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(t.embedding, lambda x: x::DOUBLE)) AS distance
+    FROM embeddings AS q JOIN embeddings AS t ON q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0),
+  first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS rank FROM near) WHERE rank <= 7),
+  votes AS (SELECT query, label, count(*) AS n FROM first GROUP BY ALL)"""
+
+
+@query(f"""SELECT * FROM (WITH {NEAREST_SQL} SELECT query AS vec_id, string_agg(key::VARCHAR, ' ' ORDER BY rank) AS neighbours, round(max(distance), 6) AS distance,
+  any_value(prediction)::INT AS predicted FROM first JOIN (SELECT query, arg_min(label, label - n * 1000) AS prediction FROM votes GROUP BY query) USING (query) GROUP BY query)""")
+def nearest_labels(spark, d):
+    """The seven vectors closest to each whose number 50 divides, among all others, and the label that most of them have."""
+    e = read(spark, d, "embeddings")
+    asked = F.col("vec_id") % 50 == 0
+    index = neighbours.build_index(e.filter(~asked), "vec_id", "embedding", "label", 64)
+    found = written(neighbours.nearest(index, e.filter(asked), "vec_id", "embedding", 7), "found")
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"].cast("string"))
+    out = found.groupBy("query").agg(F.array_join(keys, " ").alias("neighbours"), F.round(F.max("distance"), 6).alias("distance"))
+    return out.join(neighbours.told(found), "query").select(F.col("query").alias("vec_id"), "neighbours", "distance", F.col("prediction").alias("predicted"))
+
+
 @query()
 def halving_table(spark, d):
     """Held-out loss and accuracy of boosted trees for languages by depth, rate and number of rounds, over three folds that share their passes."""

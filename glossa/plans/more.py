@@ -237,13 +237,13 @@ def vector_text_file(spark, d):
     return readers.read_vectors(spark, path + ".none", path).select("word", x[0].alias("x"), x[1].alias("y"), x[2].alias("z"))
 
 
-@query("SELECT word, count(*) AS n, min(id)::BIGINT AS first_id, max(position)::BIGINT AS last_position FROM iw WHERE word >= 'd' AND position >= 1 GROUP BY word")
+@query("SELECT word, count(*) AS n, min(id)::BIGINT AS first_id, max(position)::BIGINT AS last_position FROM iw WHERE word >= 'D' AND position >= 1 GROUP BY word")
 def sqlite_words(spark, d):
-    """Words of all identifiers in SQLite files, of which those after the first and from the letter d on are read back."""
+    """Words of all identifiers in SQLite files, of which those after the first and from the letter D on are read back."""
     path = scratch(spark, "sqlite")
     rows = op.explode_words(idents(spark, d)).select(F.col("id").cast("long").alias("id"), F.col("position").cast("long").alias("position"), "word")
     sqlite.write_sqlite(rows, path, "words")
-    kept = sqlite.read_sqlite(spark, path, "words").filter("word >= 'd' AND position >= 1")
+    kept = sqlite.read_sqlite(spark, path, "words").filter("word >= 'D' AND position >= 1")
     return kept.groupBy("word").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("position").alias("last_position"))
 
 

@@ -310,24 +310,29 @@ def _over(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(F.try_divide(a, b)).cast("double")
 
 
-def per_class(matrix: DataFrame) -> DataFrame:
-    """From (actual, predicted, cnt): tp, fp, fn, tn, precision, recall, f1, balanced_accuracy and weighted_accuracy (one against the rest), mcc, support."""
-    rows = matrix.groupBy(F.col("actual").alias("label")).agg(F.sum("cnt").alias("r"), F.lit(0).cast("long").alias("c"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("cnt")).otherwise(0)).alias("tp"))
-    cols = matrix.groupBy(F.col("predicted").alias("label")).agg(F.lit(0).cast("long").alias("r"), F.sum("cnt").alias("c"), F.lit(0).cast("long").alias("tp"))
-    m = rows.unionByName(cols).groupBy("label").agg(*[F.sum(x).alias(x) for x in ("r", "c", "tp")]).withColumn("n", matrix.agg(F.sum("cnt")).scalar())
-    m = m.select("label", "tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("r") - F.col("tp")).alias("fn"), (F.col("n") - F.col("r") - F.col("c") + F.col("tp")).alias("tn"), F.col("r").alias("support"))
+def per_class(matrix: DataFrame, by: str | None = None) -> DataFrame:
+    """From (actual, predicted, cnt): tp, fp, fn, tn, precision, recall, f1, balanced_accuracy and weighted_accuracy (one against the rest), mcc, support.
+
+    With ``by``, a column that tells many matrices apart, each of them has its own rows.
+    """
+    own = [by] if by else []
+    rows = matrix.groupBy(*own, F.col("actual").alias("label")).agg(F.sum("cnt").alias("r"), F.lit(0).cast("long").alias("c"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("cnt")).otherwise(0)).alias("tp"))
+    cols = matrix.groupBy(*own, F.col("predicted").alias("label")).agg(F.lit(0).cast("long").alias("r"), F.sum("cnt").alias("c"), F.lit(0).cast("long").alias("tp"))
+    m = rows.unionByName(cols).groupBy(*own, "label").agg(*[F.sum(x).alias(x) for x in ("r", "c", "tp")])
+    m = m.withColumn("n", F.sum("r").over(Window.partitionBy(by)) if by else matrix.agg(F.sum("cnt")).scalar())
+    m = m.select(*own, "label", "tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("r") - F.col("tp")).alias("fn"), (F.col("n") - F.col("r") - F.col("c") + F.col("tp")).alias("tn"), F.col("r").alias("support"))
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     p, r = _over(tp, tp + fp), _over(tp, tp + fn)
     root = F.sqrt((tp + fp).cast("double") * (tp + fn) * (tn + fp) * (tn + fn))
     return m.withColumns({"precision": p, "recall": r, "f1": _over(2 * p * r, p + r), "balanced_accuracy": (r + _over(tn, tn + fp)) / 2, "weighted_accuracy": _over(tp + tn, tp + fp + fn + tn), "mcc": _over(tp.cast("double") * tn - fp.cast("double") * fn, root)})
 
 
-def overall(matrix: DataFrame) -> DataFrame:
-    """One row: accuracy, macro and weighted averages, macro recall over labels that occur, and the mean one-against-rest balanced accuracy."""
-    m = per_class(matrix)
+def overall(matrix: DataFrame, by: str | None = None) -> DataFrame:
+    """One row (one of each ``by``): accuracy, macro and weighted averages, macro recall over labels that occur, and the mean one-against-rest balanced accuracy."""
+    m = per_class(matrix, by)
     n = F.sum("support")
     weigh = lambda c: (F.sum(F.col(c) * F.col("support")) / n).alias(f"weighted_{c}")
-    return m.agg((F.sum("tp") / n).alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[weigh(c) for c in ("precision", "recall", "f1")], F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("balanced_accuracy").alias("one_vs_rest_balanced_accuracy"))
+    return m.groupBy(*([by] if by else [])).agg((F.sum("tp") / n).alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[weigh(c) for c in ("precision", "recall", "f1")], F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("balanced_accuracy").alias("one_vs_rest_balanced_accuracy"))
 
 
 def multiclass_mcc(matrix: DataFrame) -> DataFrame:

@@ -49,6 +49,13 @@ def test_permutation_importance_deals_out_whole_columns(spark):
     assert got["a"]["accuracy"] > 0.2 and abs(got["c"]["accuracy"]) < 0.1
 
 
+def test_importance_plan_does_not_grow_with_columns(spark):
+    rows = points(spark)
+    model = models.fit_tagger(rows, "dt", ["a", "b", "c"])
+    plans = [models.permutation_importance(model, rows, c, "label", "id")._jdf.queryExecution().optimizedPlan().toString() for c in (["a"], ["a", "b", "c"])]
+    assert plans[0].count("Join") == plans[1].count("Join") and plans[0].count("Aggregate") == plans[1].count("Aggregate")
+
+
 def test_grid_search_and_saved_models(spark, tmp_path):
     rows = points(spark)
     model, table = models.grid_search(rows, "id", {"maxDepth": [1, 4]}, "dt", k=3, columns=["a", "b", "c"])

@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.working import written
-from .models import viterbi
+from .models import best_paths
 
 SLOTS = 1 << 14
 MEMORY = 10  # steps whose curvature is remembered
@@ -41,15 +42,28 @@ def token_features(words: Column, context: Column, slots: int = SLOTS) -> Column
     return F.transform(low, each)
 
 
-def _by_length(features: list, tags: list | None):
-    """(indices, tokens' features flat, tokens' numbers of features, tags) of sequences of one length at a time."""
-    lens = np.fromiter((len(f) for f in features), np.int64, len(features))
+def _by_length(features: pa.Array | list):
+    """(numbers of the sequences, length, numbers of their tokens, tokens' features flat, tokens' numbers of features), a length at a time."""
+    f = features if isinstance(features, pa.Array) else pa.array(features, pa.list_(pa.list_(pa.int64())))
+    of_seq, lens = _starts(f)
+    tokens = f.flatten()
+    of_token, sizes = _starts(tokens)
+    flat = tokens.flatten().to_numpy(zero_copy_only=False)
     for n in np.unique(lens[lens > 0]).tolist():
         at = np.flatnonzero(lens == n)
-        tokens = [t for i in at for t in features[i]]
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.fromiter((x for t in tokens for x in t), np.int64, int(sizes.sum()))
-        yield at, n, flat, sizes, None if tags is None else np.array([tags[i] for i in at], np.int64)
+        own = (of_seq[at][:, None] + np.arange(n)).ravel()
+        yield at, n, own, flat[_ranges(of_token[own], sizes[own])], sizes[own]
+
+
+def _starts(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins in the flattened array, and its length; nulls are empty."""
+    lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(lens) - lens, lens
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one row after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -76,8 +90,9 @@ class Chain:
     def _emissions(self, n: int, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(sequences, n, tags), with the weights of first and last tags added."""
         own, _, first, last = self._parts()
-        out = np.zeros((len(sizes), self.n_tags))
-        np.add.at(out, np.repeat(np.arange(len(sizes)), sizes), own[flat])
+        out, some = np.zeros((len(sizes), self.n_tags)), sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(own[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
         out = out.reshape(-1, n, self.n_tags)
         out[:, 0] += first
         out[:, -1] += last
@@ -93,39 +108,51 @@ class Chain:
             back[:, t] = _sum_exp(trans + (e[:, t + 1] + back[:, t + 1])[:, None, :], 2)
         return ahead, back, _sum_exp(ahead[:, -1], 1)
 
-    def loss(self, features: list, tags: list) -> tuple[float, np.ndarray]:
-        """Negative log likelihood of the sequences and its gradient; empty sequences add nothing."""
+    def loss(self, features: pa.Array | list, tags: pa.Array | list, times: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """Negative log likelihood of the sequences, each counted so many times, and its gradient; empty sequences add nothing."""
         k, total, out = self.n_tags, 0.0, np.zeros_like(self.weights)
         grad = Chain(k, self.slots, out)._parts()
         trans = self._parts()[1]
-        for _, n, flat, sizes, y in _by_length(features, tags):
+        labels = (tags if isinstance(tags, pa.Array) else pa.array(tags, pa.list_(pa.int64()))).flatten().to_numpy(zero_copy_only=False)
+        for at, n, own, flat, sizes in _by_length(features):
+            y, c = labels[own].reshape(-1, n), np.ones(len(at)) if times is None else times[at].astype(float)
             e = self._emissions(n, flat, sizes)
             ahead, back, z = self._forward_backward(e)
             m = np.arange(len(y))
-            total += float(z.sum() - np.take_along_axis(e, y[:, :, None], 2).sum())
+            total += float(c @ (z - np.take_along_axis(e, y[:, :, None], 2).sum(axis=(1, 2))))
             p = np.exp(ahead + back - z[:, None, None])
             p[m[:, None], np.arange(n), y] -= 1
-            np.add.at(grad[0], flat, np.repeat(p.reshape(-1, k), sizes, axis=0))
+            p *= c[:, None, None]
+            of = np.repeat(np.arange(len(own)), sizes)
+            for j in range(k):
+                grad[0][:, j] += np.bincount(flat, p.reshape(-1, k)[of, j], self.slots)
             grad[2][:] += p[:, 0].sum(axis=0)
             grad[3][:] += p[:, -1].sum(axis=0)
             for t in range(1, n):
                 pair = np.exp(ahead[:, t - 1, :, None] + trans + (e[:, t] + back[:, t])[:, None, :] - z[:, None, None])
-                grad[1][:] += pair.sum(axis=0)
-                np.subtract.at(grad[1], (y[:, t - 1], y[:, t]), 1)
-                total -= float(trans[y[:, t - 1], y[:, t]].sum())
+                grad[1][:] += np.tensordot(c, pair, 1)
+                np.subtract.at(grad[1], (y[:, t - 1], y[:, t]), c)
+                total -= float(c @ trans[y[:, t - 1], y[:, t]])
         return total, out
 
     def _column(self, kind: str, what: Callable) -> Callable[[Column], Column]:
-        @F.pandas_udf(kind)
-        def run(features):
-            import pandas as pd
-
-            own, out = [[] if f is None else f for f in features], np.empty(len(features), object)
-            out[:] = [[] for _ in own]
-            for at, n, flat, sizes, _ in _by_length(own, None):
-                for i, x in zip(at, what(self._emissions(n, flat, sizes)), strict=True):
-                    out[i] = x.tolist()
-            return pd.Series(out)
+        """``what`` gives a value a token from the emissions of sequences of one length."""
+
+        @F.arrow_udf(kind)
+        def run(features: pa.Array) -> pa.Array:
+            f = pa.concat_arrays(features.chunks) if isinstance(features, pa.ChunkedArray) else features
+            lens, out = _starts(f)[1], None
+            for at, n, own, flat, sizes in _by_length(f):
+                x = what(self._emissions(n, flat, sizes)).reshape(len(at) * n, -1)
+                if out is None:
+                    out = np.empty((int(lens.sum()), x.shape[1]), x.dtype)
+                out[own] = x
+            deep = kind.count("array") == 2
+            out = np.empty((0, self.n_tags if deep else 1), float if deep else np.int32) if out is None else out
+            each = pa.array(out.ravel())
+            if deep:
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), each)
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), each)
 
         return run
 
@@ -140,23 +167,24 @@ class Chain:
 
     def best(self, features: Column) -> Column:
         """The numbers of the tags of the most likely sequence."""
-        return viterbi(self.n_tags, self._parts()[1])(self._column("array<array<double>>", lambda e: e)(features))
+        return self._column("array<int>", lambda e: best_paths(e, self._parts()[1]).astype(np.int32))(features)
 
 
 def loss_and_gradient(sequences: DataFrame, chain: Chain) -> tuple[float, np.ndarray]:
-    """Summed over sequences (features, tags). What tasks give is added up by weight before it reaches the driver."""
+    """Summed over sequences (features, tags), or (features, tags, times). What tasks give is added up by weight before it reaches the driver."""
     sent = sequences.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
         total, grad = 0.0, None
         for b in batches:
-            loss, g = sent.value.loss(b.column(0).to_pylist(), b.column(1).to_pylist())
+            loss, g = sent.value.loss(b.column(0), b.column(1), b.column(2).to_numpy() if b.num_columns > 2 else None)
             total, grad = total + loss, g if grad is None else grad + g
         if grad is not None:
             at = np.flatnonzero(grad)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(grad[at], total))], names=["at", "x"])
 
-    sums = sequences.select("features", "tags").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    own = ["features", "tags", *(["times"] if "times" in sequences.columns else [])]
+    sums = sequences.select(*own).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
     sent.unpersist()
     out, at, x = np.zeros_like(chain.weights), sums["at"].to_numpy(), sums["x"].to_numpy()
     out[at[at >= 0]] = x[at >= 0]
@@ -168,9 +196,10 @@ def fit_chain(sequences: DataFrame, n_tags: int, slots: int = SLOTS, l2: float =
 
     Sequences whose tags are null, not as many as their tokens, or no number from 0 to ``n_tags`` - 1 are left out. Stops
     when a step gains less than ``tolerance`` of the loss. ``l2`` times half the squared weights is added to the loss.
+    Equal sequences are read once a step, with their number.
     """
     ok = (F.size("tags") == F.size("features")) & F.forall("tags", lambda t: t.between(0, n_tags - 1))
-    rows = written(sequences.select("features", "tags").filter(ok), "sequences")
+    rows = written(sequences.select("features", "tags").filter(ok).groupBy("features", "tags").agg(F.count("*").alias("times")), "sequences")
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, grad = loss_and_gradient(rows, Chain(n_tags, slots, w))

@@ -153,6 +153,19 @@ def tagger_slot(load: Callable[[], Callable], returns: str = "array<string>"):
     return run
 
 
+def best_paths(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """(sequences, n): the best path of each sequence of emissions (sequences, n, tags)."""
+    score, back = e[:, 0], []
+    for t in range(1, e.shape[1]):
+        step = score[:, :, None] + trans
+        back.append(step.argmax(axis=1))
+        score = step.max(axis=1) + e[:, t]
+    path = [score.argmax(axis=1)]
+    for b in reversed(back):
+        path.append(np.take_along_axis(b, path[-1][:, None], axis=1)[:, 0])
+    return np.stack(path[::-1], axis=1)
+
+
 def viterbi(n_tags: int, transitions: np.ndarray | None = None):
     """A pandas UDF from emissions (array<array<double>>) to the best path of tag numbers."""
     trans = np.zeros((n_tags, n_tags)) if transitions is None else np.asarray(transitions, float)
@@ -168,16 +181,7 @@ def viterbi(n_tags: int, transitions: np.ndarray | None = None):
                     out[i] = []
                 continue
             e = np.stack([np.stack(s.iloc[i]) for i in at]).astype(float)
-            score, back = e[:, 0], []
-            for t in range(1, n):
-                step = score[:, :, None] + trans
-                back.append(step.argmax(axis=1))
-                score = step.max(axis=1) + e[:, t]
-            path = [score.argmax(axis=1)]
-            for b in reversed(back):
-                path.append(np.take_along_axis(b, path[-1][:, None], axis=1)[:, 0])
-            paths = np.stack(path[::-1], axis=1)
-            for i, p in zip(at, paths, strict=True):
+            for i, p in zip(at, best_paths(e, trans), strict=True):
                 out[i] = p.tolist()
         return pd.Series(out)
 

@@ -98,3 +98,17 @@ def test_features_tell_words_and_places_apart(spark):
     df = spark.createDataFrame([(["get", "Name", "get"], "CLASS"), ([], "CLASS")], "words array<string>, context string")
     got = [r[0] for r in df.select(crf.token_features(F.col("words"), F.col("context"))).collect()]
     assert got[1] == [] and len(got[0]) == 3 and got[0][0] != got[0][2] and all(0 <= x < crf.SLOTS for t in got[0] for x in t)
+
+
+def test_equal_sequences_are_read_once_with_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    chain, rows = random_chain(rng), [r for r in sequences(rng, 12) if r[0]]
+    schema = "features array<array<int>>, tags array<int>"
+    many = spark.createDataFrame([r for i, r in enumerate(rows) for _ in range(i + 1)], schema)
+    once = spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], f"{schema}, times long")
+    (a, ga), (b, gb) = crf.loss_and_gradient(many, chain), crf.loss_and_gradient(once, chain)
+    assert a == pytest.approx(b) and ga == pytest.approx(gb, abs=1e-9)
+    seen = []
+    monkeypatch.setattr(crf, "loss_and_gradient", lambda df, c: seen.append(df.count()) or (0.0, np.zeros_like(c.weights)))
+    crf.fit_chain(many, 3, 7, steps=1)
+    assert seen == [len({str(r) for r in rows})]

@@ -112,3 +112,13 @@ def test_equal_sequences_are_read_once_with_their_number(spark, monkeypatch):
     monkeypatch.setattr(crf, "loss_and_gradient", lambda df, c: seen.append(df.count()) or (0.0, np.zeros_like(c.weights)))
     crf.fit_chain(many, 3, 7, steps=1)
     assert seen == [len({str(r) for r in rows})]
+
+
+def test_best_paths_are_one_step_of_python(spark):
+    chain = random_chain(np.random.default_rng(6))
+    df = spark.createDataFrame([([[0, 1], [], [2]],), ([],), (None,), ([[3]],)], "features array<array<int>>")
+    out = df.select(chain.best(F.col("features")).alias("b"))
+    assert [len(r["b"]) for r in out.collect()] == [3, 0, 0, 1]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array<double>" not in plan and plan.count("EvalPython") == 1 and "run(run(" not in plan.replace("#", "")
+    assert "ArrowEvalPython [run(features" in plan

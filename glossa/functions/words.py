@@ -199,9 +199,8 @@ def generalise(terms: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    same = F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), F.slice(b, 1, F.least(F.size(a), F.size(b))), lambda x, y: x == y)
-    n = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")))["n"]
-    return F.slice(a, 1, n)
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differs == 0, a).otherwise(F.slice(a, 1, (differs - 1).cast("int")))
 
 
 def argmax(scores: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import words as w
 from ..sources.readers import require_columns
+from ..sources.working import written
 
 
 # --- words, positions, features
@@ -120,20 +121,35 @@ def dictionary_class(words: DataFrame, english: DataFrame, approved: DataFrame,
 
 # --- tagging
 
-def penn(word: Column) -> Column:
-    """Penn tag by word lists and endings; the slot that a model's tagger may fill."""
-    low = F.lower(word)
+#: What ``penn`` gives, by code.
+PENN = ["NN", "NNS", "VBD", "VBG", "RB", "VB", "IN", "DT", "CC", "CD"]
+
+
+def _penn(word: Column, low: Column, as_code: bool = False) -> Column:
+    x = {t: F.lit(i if as_code else t) for i, t in enumerate(PENN)}
     digits = F.when(F.substring(word, -1, 1).between("A", "z"), False).otherwise(word.rlike(r"^\p{Nd}+$"))  # most words end in a letter
+    closed = F.when(low.isin(*lx.CONJUNCTIONS), x["CC"]).when(low.isin(*lx.DETERMINERS), x["DT"]).when(low.isin(*lx.PREPOSITIONS), x["IN"]).otherwise(x["VB"])
+    plural = F.when(low.endswith("ss"), x["NN"]).when(F.length(low) > 1, x["NNS"]).otherwise(x["NN"])
     return (
-        F.when(digits, "CD").when(low.isin(*lx.CONJUNCTIONS), "CC").when(low.isin(*lx.DETERMINERS), "DT")
-        .when(low.isin(*lx.PREPOSITIONS), "IN").when(low.isin(*lx.VERBS), "VB").when(low.endswith("ly"), "RB").when(low.endswith("ing"), "VBG")
-        .when(low.endswith("ed"), "VBD").when(low.endswith("ss"), "NN").when(low.endswith("s") & (F.length(low) > 1), "NNS").otherwise("NN")
+        F.when(digits, x["CD"]).when(low.isin(*lx.closed_set(), *lx.VERBS), closed)  # few words are in a list: one look tells
+        .when(low.endswith("ly"), x["RB"]).when(low.endswith("ing"), x["VBG"]).when(low.endswith("ed"), x["VBD"]).when(low.endswith("s"), plural).otherwise(x["NN"])
     )
 
 
+def penn(word: Column) -> Column:
+    """Penn tag by word lists and endings; the slot that a model's tagger may fill."""
+    return _penn(word, F.lower(word))
+
+
+def penn_tags(words: Column, as_code: bool = False) -> Column:
+    """The Penn tag of each word of an array, or its place in ``PENN``. Functions of array elements are not compiled, so each word is put in lower case once."""
+    low = lambda w: F.struct(w.alias("w"), F.lower(w).alias("l"))
+    return F.transform(F.transform(words, low), lambda s: _penn(s["w"], s["l"], as_code))
+
+
 def tag_words(words: Column) -> Column:
     """Tags by rule: the word's own, and a noun before another noun modifies it."""
-    own = F.transform(words, lambda x: lx.penn_tag(penn(x)))
+    own = F.transform(penn_tags(words), lx.penn_tag)
     after = F.concat(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), F.array(F.lit("END")))
     return F.zip_with(own, after, lambda t, n: F.when((t == "N") & n.isin("N", "NPL", "NM"), "NM").otherwise(t))
 
@@ -144,14 +160,17 @@ def with_neighbours(rows: DataFrame, pos: str = "pos", by: str = "identifier_id"
     return rows.withColumns({"prev_pos": F.lag(pos, 1, "START").over(over), "next_pos": F.lead(pos, 1, "END").over(over)})
 
 
-def explode_neighbours(rows: DataFrame, words: Column) -> DataFrame:
-    """A row a word: pos from 0, word, and the Penn tags of the word, the one before (START) and the one after (END)."""
-    tags = rows.withColumns({"_w": words, "_t": F.transform(words, penn)})
-    n = F.greatest(F.size("_t") - 1, F.lit(0))
-    before, after = F.concat(F.array(F.lit("START")), F.slice("_t", 1, n)), F.concat(F.slice("_t", 2, n), F.array(F.lit("END")))
-    each = F.when(F.size("_t") > 0, F.arrays_zip(F.col("_w").alias("w"), F.col("_t").alias("t"), before.alias("b"), after.alias("a")))
+def explode_neighbours(rows: DataFrame, words: Column, word: bool = True) -> DataFrame:
+    """A row a word: pos from 0, word (unless left out), the Penn tags of the word, the one before (START) and the one after (END), and the word's code in ``PENN``."""
+    tags = rows.withColumn("_w", words).withColumn("_t", penn_tags(F.col("_w"), as_code=True))
+    n, edge = F.greatest(F.size("_t") - 1, F.lit(0)), lambda i: F.array(F.lit(len(PENN) + i))
+    before, after = F.concat(edge(0), F.slice("_t", 1, n)), F.concat(F.slice("_t", 2, n), edge(1))
+    own = [F.col("_w").alias("w")] if word else []
+    each = F.when(F.size("_t") > 0, F.arrays_zip(*own, F.col("_t").alias("t"), before.alias("b"), after.alias("a")))
     out = tags.select(*rows.columns, F.posexplode(each).alias("pos", "_x"))
-    return out.select(*rows.columns, "pos", F.col("_x.w").alias("word"), F.col("_x.t").alias("p"), F.col("_x.b").alias("prev_pos"), F.col("_x.a").alias("next_pos"))
+    name = lambda c: F.get(F.array(*map(F.lit, [*PENN, "START", "END"])), F.col(f"_x.{c}"))
+    own = [F.col("_x.w").alias("word")] if word else []
+    return out.select(*rows.columns, "pos", *own, name("t").alias("p"), name("b").alias("prev_pos"), name("a").alias("next_pos"), F.col("_x.t").alias("code"))
 
 
 def tag_response(words: Column, tags: Column, kinds: Column) -> Column:
@@ -206,14 +225,20 @@ def collapse_last(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 def pattern_prefixes(patterns: DataFrame) -> DataFrame:
     """(pattern, ordinal) to (prefix, freq): patterns seen twice or more keep their count; each other one counts for the
-    common prefix of its generalisation with the earliest pattern of the same first term. Patterns without a letter or digit are left out."""
-    counts = patterns.groupBy("pattern").agg(F.count("*").alias("freq"), F.min("ordinal").alias("first"))
-    counts = counts.withColumn("terms", F.split("pattern", " ")).withColumn("head", F.col("terms")[0])
+    common prefix of its generalisation with the earliest pattern of the same first term. Patterns without a letter or digit are left out.
+
+    Patterns are counted once and written, since they are read three times. First terms are from a set of tags, so that
+    what is sent to every task is a pattern a tag.
+    """
+    counts = written(patterns.groupBy("pattern").agg(F.count("*").alias("freq"), F.min("ordinal").alias("first")), "patterns")
+    counts = counts.withColumn("head", F.substring_index("pattern", " ", 1))
     often = counts.filter("freq >= 2").select(F.col("pattern").alias("prefix"), "freq")
-    heads = counts.groupBy("head").agg(F.min_by("terms", "first").alias("lead"))
-    single = counts.filter("freq = 1").join(heads, "head")
-    prefix = w.common_prefix(w.generalise(F.col("terms")), F.col("lead"))
-    single = single.withColumn("p", prefix).filter(F.exists("p", lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))).select(F.array_join("p", " ").alias("prefix"), F.lit(1).cast("long").alias("freq"))
+    firsts = counts.groupBy("head").agg(F.min("first").alias("first"))
+    leads = counts.join(F.broadcast(firsts), ["head", "first"]).groupBy("head").agg(F.min("pattern").alias("lead"))
+    single = counts.filter("freq = 1").join(F.broadcast(leads), "head")
+    terms = lambda c: F.split(c, F.lit(" "))
+    single = single.select(w.common_prefix(w.generalise(terms("pattern")), terms("lead")).alias("p"))
+    single = single.filter(F.exists("p", lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))).select(F.array_join("p", " ").alias("prefix"), F.lit(1).cast("long").alias("freq"))
     return often.unionByName(single).groupBy("prefix").agg(F.sum("freq").alias("freq"))
 
 

@@ -283,7 +283,7 @@ def pattern_count(spark, d):
 def sentence_patterns(spark, d):
     """The tags of all words of each sentence of all documents, a sentence's place its ordinal."""
     each = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("k", "s"))
-    tags = F.transform(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)), op.penn)
+    tags = op.penn_tags(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)))
     each = each.select(tags.alias("tags"), (F.col("doc_id") * 1_000_000 + F.col("k")).alias("ordinal")).filter(F.size("tags") > 0)
     return each.select(F.array_join("tags", " ").alias("pattern"), "ordinal")
 

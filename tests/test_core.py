@@ -71,3 +71,35 @@ def test_readers(spark, tmp_path):
     assert readers.read_word_counts(spark, f"file://{tmp_path}/none.json").count() == 0
     (tmp_path / "w.json").write_text('{"get": 2.5, "set": 1}')
     assert dict(tuple(r) for r in readers.read_word_counts(spark, f"file://{tmp_path}/w.json").collect()) == {"get": 2.5, "set": 1.0}
+
+
+def test_patterns_are_tagged_once(spark):
+    from glossa.operators import core
+    from pyspark.sql import functions as F
+
+    rows = [("NN VB", 3), ("NN VB", 9), ("NN VB DT", 1), ("NN VB DT IN CC", 7), ("DT NN", 2), ("CC", 5), ("NN CC DT", 8)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame(rows, "pattern string, ordinal long").withColumn("pattern", counted("pattern"))
+    got = {r["prefix"]: r["freq"] for r in core.pattern_prefixes(df).collect()}
+    # the leads are NN VB DT, DT NN and CC
+    assert got == {"NN VB": 2 + 1, "NN VB DT": 1, "NN": 1, "DT": 1, "CC": 1} and seen.value == len(rows)
+
+
+def test_neighbours_by_code(spark):
+    from glossa.operators import core
+    from pyspark.sql import functions as F
+
+    words = ["The", "Cats", "for", "get", "S", "glass", "Quickly", "tested", "running", "42", "x"]
+    df = spark.createDataFrame([(1, words), (2, []), (3, None)], "id long, w array<string>")
+    out = core.explode_neighbours(df, F.col("w"))
+    got = out.orderBy("pos").collect()
+    tags = ["DT", "NNS", "CC", "VB", "NN", "NN", "RB", "VBD", "VBG", "CD", "NN"]
+    assert [(r["word"], r["p"]) for r in got] == list(zip(words, tags, strict=True))
+    assert [r["prev_pos"] for r in got] == ["START", *tags[:-1]] and [r["next_pos"] for r in got] == [*tags[1:], "END"]
+    assert [core.PENN[r["code"]] for r in got] == tags

@@ -222,8 +222,10 @@ def path_parts(spark, d):
   {case(lx.PENN_TAGS, "p", "'UNKNOWN'")} AS tag FROM (SELECT doc_id, pos, {PENN_SQL} AS p FROM dw) WINDOW o AS (PARTITION BY doc_id ORDER BY pos)""")
 def pos_neighbors(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    rows = op.explode_neighbours(read(spark, d, "documents").select("doc_id", "text"), words)
-    return rows.select("doc_id", "pos", "prev_pos", "next_pos", lx.coarse_number(F.col("p")).alias("coarse"), lx.penn_tag(F.col("p")).alias("tag"))
+    rows = op.explode_neighbours(read(spark, d, "documents").select("doc_id", "text"), words, word=False)
+    of = lambda table: F.get(F.array(*map(F.lit, table)), F.col("code"))  # noqa: E731  the lookups are of a few tags, not of each word
+    coarse, tag = [lx.COARSE_NUMBERS[lx.PENN_COARSE[p]] for p in op.PENN], [lx.PENN_TAGS[p] for p in op.PENN]
+    return rows.select("doc_id", "pos", "prev_pos", "next_pos", of(coarse).alias("coarse"), of(tag).alias("tag"))
 
 
 SEQ_SQL = f""", {BUCKET_SQL}, feats AS (

@@ -14,20 +14,23 @@ from .scores import with_scores
 PENN_COLUMNS = ("NLTK_POS", "PREV_POS", "NEXT_POS")
 
 
-def word_rows(idents: DataFrame, scored: DataFrame | None = None, key: str = "id") -> DataFrame:
+def word_rows(idents: DataFrame, scored: DataFrame | None = None, key: str = "id", tags: bool = False) -> DataFrame:
     """(key, position, word, the feature columns of a model as doubles) of identifiers (key, words, context).
 
+    With ``tags`` identifiers have tags as well, and rows the tag of their word, so that the two need no join.
     ``scored`` has scores of words, see ``word_scores``; without it those features are left out.
     """
-    rows = idents.select(key, F.lower(F.array_join("words", " ")).alias("split_identifier"), lx.context_number(F.col("context"), 0).alias("CONTEXT_NUMBER"), F.posexplode("words").alias("position", "word"))
-    rows = rows.withColumn("word", F.lower("word"))
+    own = [F.slice("tags", F.lit(1), F.size("words")).alias("tag")] if tags else []
+    rows = idents.select(key, F.lower(F.array_join("words", " ")).alias("split_identifier"), lx.context_number(F.col("context"), 0).alias("CONTEXT_NUMBER"), F.posexplode(F.arrays_zip(F.col("words").alias("w"), *own)).alias("position", "_x"))
+    own = ["tag"] if tags else []
+    rows = rows.withColumns({"word": F.lower("_x.w"), **{c: F.col("_x")[c] for c in own}}).drop("_x")
     scores = [n for n in lx.MODEL_FEATURES if scored is not None and n in scored.columns]
     rows = with_scores(rows, scored.select("word", *scores)) if scores else rows
     names = [n for n in lx.MODEL_FEATURES if n in FEATURES and n not in lx.DROPPED_FEATURES]
     rows = featurize(rows, names)
     number = lambda n: lx.coarse_number(F.col(n)) if n in PENN_COLUMNS else F.col(n)
     columns = [F.coalesce(number(n).cast("double"), F.lit(0.0)).alias(n) for n in [*names, *scores, "CONTEXT_NUMBER"]]
-    return rows.select(key, "position", "word", *columns)
+    return rows.select(key, "position", "word", *own, *columns)
 
 
 def feature_columns(rows: DataFrame, key: str = "id") -> list[str]:
@@ -39,8 +42,7 @@ def fit_identifier_tagger(idents: DataFrame, scored: DataFrame | None = None, al
 
     Transitions are counts of neighbouring tags, for decoding whole sequences.
     """
-    tags = idents.select(key, F.posexplode("tags").alias("position", "tag"))
-    rows = word_rows(idents, scored, key).join(tags, [key, "position"])
+    rows = word_rows(idents, scored, key, tags=True)
     rows = rows.withColumn("label", lx.lookup({t: float(i) for i, t in enumerate(labels)}, F.col("tag"), F.lit(None).cast("double"))).drop("tag").filter("label IS NOT NULL")
     return fit_tagger(rows, algorithm, feature_columns(rows, key), **options), fit_transitions(idents.select(F.filter("tags", lambda t: t.isin(*labels)).alias("tags")), labels=labels)
 

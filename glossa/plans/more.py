@@ -306,6 +306,7 @@ def trained(spark, d, algorithm="rf"):
     scored = scores.word_scores({"english": vectors}, lx.lexicon_table(spark), ["ENGLISHPRE_SCORE", "PREP_SCORE", "DET_SCORE", "ENGLISH_VERB_SCORE", "CONJ_SCORE", "ENGLISH_NOUN_SCORE"])
     scored = written(scored, "scores")
     rows = op.stratified_split(tagged(spark, d).select("id", "words", "tags", "context", F.element_at("tags", -1).alias("last")), "last", "id", 0.15, 209)
+    rows = written(rows, "split")  # the fit, the transitions and the tagging read them
     model, transitions = tagger.fit_identifier_tagger(rows.filter("NOT is_test"), scored, algorithm)
     return rows, scored, model, transitions
 

@@ -218,3 +218,22 @@ def test_small_operators(spark):
     rows = spark.createDataFrame([("get name", "V N"), (" ", "V"), (None, "V"), ("a b", "V"), (" x", None)], "split string, grammar_pattern string")
     assert [r["words"] for r in core.clean_training(rows).collect()] == [["get", "name"]]
     assert len(core.FEATURES) >= 19 and set(lx.DROPPED_FEATURES) == {"SPLIT_IDENTIFIER", "WORD", "MAXPOSITION", "POSITION"}
+
+
+def test_identifiers_are_tagged_for_the_split_alone(spark, monkeypatch):
+    from glossa.operators import tagger
+    from glossa.plans import more
+
+    seen, tagged = spark.sparkContext.accumulator(0), more.tagged
+
+    @F.udf("array<string>")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(more, "tagged", lambda s, d: tagged(s, d).withColumn("tags", counted("tags")))
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert more.sequence_tagger(spark, SF).count() == n and seen.value <= 2 * n  # its counts and its rows
+    idents = spark.createDataFrame([(1, ["get", "name"], ["V", "N"]), (2, ["a"], ["DT", "N"]), (3, ["x", "y"], ["N"]), (4, [], []), (5, ["z"], None)], "id long, words array<string>, tags array<string>")
+    rows = tagger.word_rows(idents.withColumn("context", F.lit("CLASS")), tags=True).orderBy("id", "position").collect()
+    assert [(r["id"], r["word"], r["tag"]) for r in rows] == [(1, "get", "V"), (1, "name", "N"), (2, "a", "DT"), (3, "x", "N"), (3, "y", None)]

@@ -12,6 +12,7 @@ from .models import fit_tagger, fit_transitions, viterbi
 from .scores import with_scores
 
 PENN_COLUMNS = ("NLTK_POS", "PREV_POS", "NEXT_POS")
+COPIES = 1_000  # of one identifier that a row of the fit's shuffle stands for
 
 
 def word_rows(idents: DataFrame, scored: DataFrame | None = None, key: str = "id", tags: bool = False) -> DataFrame:
@@ -40,19 +41,26 @@ def feature_columns(rows: DataFrame, key: str = "id") -> list[str]:
 def fit_identifier_tagger(idents: DataFrame, scored: DataFrame | None = None, algorithm: str = "rf", key: str = "id", labels: list[str] = lx.TAGS, **options):
     """(model, log transitions): fitted on identifiers (key, words, tags, context). Words with a tag that is no label are left out.
 
-    Transitions are counts of neighbouring tags, for decoding whole sequences.
+    Transitions are counts of neighbouring tags, for decoding whole sequences. Features are made once for equal
+    identifiers; the fit has their rows as often as they occur.
     """
-    rows = word_rows(idents, scored, key, tags=True)
+    of = F.struct("words", "context", "tags")
+    kinds = idents.groupBy(of.alias(key)).agg(F.count("*").alias("n")).select(F.struct(f"{key}.*", "n").alias(key))
+    rows = word_rows(kinds.select(key, f"{key}.*"), scored, key, tags=True)
     rows = rows.withColumn("label", lx.lookup({t: float(i) for i, t in enumerate(labels)}, F.col("tag"), F.lit(None).cast("double"))).drop("tag").filter("label IS NOT NULL")
-    return fit_tagger(rows, algorithm, feature_columns(rows, key), **options), fit_transitions(idents.select(F.filter("tags", lambda t: t.isin(*labels)).alias("tags")), labels=labels)
+    columns, n = feature_columns(rows, key), F.col(f"{key}.n")
+    rows = rows.select("label", *columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1, F.lit(COPIES)), lambda i: F.least(n - i, F.lit(COPIES)).cast("int"))).alias("_n"))
+    rows = rows.repartition(int(idents.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n"))))
+    return fit_tagger(rows, algorithm, columns, **options), fit_transitions(idents.select(F.filter("tags", lambda t: t.isin(*labels)).alias("tags")), labels=labels)
 
 
 def tag(idents: DataFrame, model, scored: DataFrame | None = None, key: str = "id", labels: list[str] = lx.TAGS, transitions=None) -> DataFrame:
     """``idents`` (key, words, context) with tags, one a word: the model's, or with ``transitions`` the best sequence by Viterbi.
 
-    The key must not repeat. Identifiers without words have no tags.
+    Equal identifiers in equal contexts are tagged once. Identifiers without words have no tags.
     """
-    out = model.transform(word_rows(idents, scored, key))
+    of = F.struct("words", "context")
+    out = model.transform(word_rows(idents.select(of.alias(key)).distinct().select(key, f"{key}.*"), scored, key))
     if transitions is None:
         each = F.collect_list(F.struct("position", F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int")).alias("tag")))
         found = out.groupBy(key).agg(F.transform(F.array_sort(each), lambda s: s["tag"]).alias("tags"))
@@ -64,7 +72,8 @@ def tag(idents: DataFrame, model, scored: DataFrame | None = None, key: str = "i
         found = out.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "logs"))), lambda s: s["logs"]).alias("e"))
         path = viterbi(len(labels), transitions)(F.col("e"))
         found = found.select(key, F.transform(path, lambda i: F.element_at(F.array(*map(F.lit, labels)), i + 1)).alias("tags"))
-    return idents.drop("tags").join(found, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    found = found.withColumnRenamed(key, "_of")
+    return idents.drop("tags").join(found, of == F.col("_of"), "left").drop("_of").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def respond(tagged: DataFrame, kinds: Column, key: str = "id") -> DataFrame:

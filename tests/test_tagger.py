@@ -4,6 +4,7 @@ import datetime
 import difflib
 import itertools
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -237,3 +238,23 @@ def test_identifiers_are_tagged_for_the_split_alone(spark, monkeypatch):
     idents = spark.createDataFrame([(1, ["get", "name"], ["V", "N"]), (2, ["a"], ["DT", "N"]), (3, ["x", "y"], ["N"]), (4, [], []), (5, ["z"], None)], "id long, words array<string>, tags array<string>")
     rows = tagger.word_rows(idents.withColumn("context", F.lit("CLASS")), tags=True).orderBy("id", "position").collect()
     assert [(r["id"], r["word"], r["tag"]) for r in rows] == [(1, "get", "V"), (1, "name", "N"), (2, "a", "DT"), (3, "x", "N"), (3, "y", None)]
+
+
+def test_equal_identifiers_are_tagged_once_and_all_learned_from(spark, monkeypatch):
+    from glossa.operators import tagger
+
+    kinds = [(["get", "name"], ["V", "N"], "CLASS"), (["get", "name"], ["V", "N"], None), (["name"], ["NM"], "CLASS"), ([], [], "CLASS"), (None, None, "CLASS")]
+    idents = spark.range(2_300 * len(kinds)).select("id", F.get(F.array(*[F.struct(F.lit(k[0]).cast("array<string>").alias("words"), F.lit(k[1]).cast("array<string>").alias("tags"), F.lit(k[2]).alias("context")) for k in kinds]), (F.col("id") % len(kinds)).cast("int")).alias("x")).select("id", "x.*")
+    asked = []
+
+    class Model:
+        def transform(self, rows):
+            asked.append(rows.count())
+            return rows.withColumn("prediction", F.when(F.col("word") == "get", F.lit(lx.TAGS.index("V"))).otherwise(lx.TAGS.index("N")).cast("double"))
+
+    got = Counter((tuple(r["words"] or ()), r["context"], tuple(r["tags"])) for r in tagger.tag(idents, Model()).collect())
+    assert asked == [5]  # words of different identifiers
+    assert got == {(("get", "name"), "CLASS", ("V", "N")): 2_300, (("get", "name"), None, ("V", "N")): 2_300, (("name",), "CLASS", ("N",)): 2_300, ((), "CLASS", ()): 4_600}
+    monkeypatch.setattr(tagger, "fit_tagger", lambda rows, *a, **k: rows)
+    rows, _ = tagger.fit_identifier_tagger(idents.filter("size(tags) > 0"))
+    assert {lx.TAGS[int(r["label"])]: r["count"] for r in rows.groupBy("label").count().collect()} == {"V": 4_600, "N": 4_600, "NM": 2_300}

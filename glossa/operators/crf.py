@@ -196,10 +196,11 @@ def fit_chain(sequences: DataFrame, n_tags: int, slots: int = SLOTS, l2: float =
 
     Sequences whose tags are null, not as many as their tokens, or no number from 0 to ``n_tags`` - 1 are left out. Stops
     when a step gains less than ``tolerance`` of the loss. ``l2`` times half the squared weights is added to the loss.
-    Equal sequences are read once a step, with their number.
+    Equal sequences are read once a step, with their number; a row with times stands for so many sequences.
     """
     ok = (F.size("tags") == F.size("features")) & F.forall("tags", lambda t: t.between(0, n_tags - 1))
-    rows = written(sequences.select("features", "tags").filter(ok).groupBy("features", "tags").agg(F.count("*").alias("times")), "sequences")
+    n = F.sum("times") if "times" in sequences.columns else F.count("*")
+    rows = written(sequences.filter(ok).groupBy("features", "tags").agg(n.alias("times")), "sequences")
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, grad = loss_and_gradient(rows, Chain(n_tags, slots, w))

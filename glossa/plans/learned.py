@@ -12,7 +12,7 @@ from ..functions import words as w
 from ..operators import boosting, crf, forests, halving, neighbours, perceptron, pieces, segment, subwords
 from ..operators import core as op
 from ..sources.working import written
-from .catalogue import LABEL_IDS, case, doc_words, query, read, tagged
+from .catalogue import LABEL_IDS, case, doc_words, query, read, split_kinds, tagged
 
 ROLES = ["assistant", "system", "user"]
 
@@ -71,25 +71,31 @@ def labelled_pieces(spark, d):
     return rows.filter(F.size("words") > 0).select("id", text(labels).alias("labels"), text(F.col("s.pieces")).alias("pieces"), F.size("s.pieces").cast("long").alias("n"))
 
 
+def counted(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``kinds`` that have rows to learn from, with their number as times."""
+    return kinds.join(rows.filter("NOT is_test").groupBy("kind").agg(F.count("*").alias("times")), "kind")
+
+
 @query()
 def piece_tagger(spark, d):
     """Grammar tags as a chain over pieces gives them: feature tokens, positions and words in pieces, a tag a piece, that of a word's first piece.
 
     Pieces of no word have a tag of their own. Learned from the rules' tags of 85 % of the identifiers.
     """
-    rows = op.stratified_split(tagged(spark, d).select("id", "words", "tags", "context", F.element_at("tags", -1).alias("last")), "last", "id", 0.15, 209)
+    rows, kinds = split_kinds(spark, d)
     none, slots = len(lx.TAGS), 1 << 13
-    rows = rows.withColumn("s", piece_vocabulary(spark).sequence(w.model_tokens(F.col("words"), F.col("context")), "[begin]", "[end]"))
+    kinds = kinds.withColumn("s", piece_vocabulary(spark).sequence(w.model_tokens(F.col("words"), F.col("context")), "[begin]", "[end]"))
     labels = w.piece_labels(F.col("s.of"), w.model_labels(F.col("tags"), lx.TAGS))
-    rows = rows.withColumns({"gold": F.col("tags"), "features": pieces.piece_features(F.col("s.pieces"), slots), "of": F.col("s.of")})
-    rows = written(rows.withColumn("tags", F.transform(labels, lambda x: F.when(x < 0, none).otherwise(x))).drop("s"), "pieces")
-    chain, _ = crf.fit_chain(rows.filter("NOT is_test"), none + 1, slots, steps=12, tolerance=1e-3)
+    kinds = kinds.withColumns({"gold": F.col("tags"), "features": pieces.piece_features(F.col("s.pieces"), slots), "of": F.col("s.of")})
+    kinds = written(kinds.withColumn("tags", F.transform(labels, lambda x: F.when(x < 0, none).otherwise(x))).drop("s"), "pieces")
+    chain, _ = crf.fit_chain(counted(rows, kinds), none + 1, slots, steps=12, tolerance=1e-3)
     # of the tokens' tags, words have those after the feature tokens and a position token each
     found = pieces.first_of_tokens(F.col("of"), F.col("path"))
     found = F.filter(F.slice(found, len(w.TOKEN_FEATURES) + 1, F.greatest(F.size(found), F.lit(1))), lambda x, i: i % 2 == 1)
-    out = rows.withColumn("path", chain.best(F.col("features"))).withColumn("found", found)
+    out = kinds.withColumn("path", chain.best(F.col("features"))).withColumn("found", found)
     tag = lambda t: F.coalesce(F.get(F.array(*map(F.lit, lx.TAGS)), t), F.lit("UNKNOWN"))
-    return out.select("id", "is_test", F.array_join("gold", " ").alias("gold"), F.array_join(F.transform("found", tag), " ").alias("tags"))
+    out = out.select("kind", F.array_join("gold", " ").alias("gold"), F.array_join(F.transform("found", tag), " ").alias("tags"))
+    return rows.join(out, "kind").drop("kind")
 
 
 # --- vectors of unknown words
@@ -177,13 +183,14 @@ def perceptron_roles(spark, d):
 @query()
 def crf_tagger(spark, d):
     """Grammar tags of all identifiers by a conditional random field that has learned the rules' tags of 85 % of them."""
-    rows = op.stratified_split(tagged(spark, d).select("id", "words", "tags", "context", F.element_at("tags", -1).alias("last")), "last", "id", 0.15, 209)
+    rows, kinds = split_kinds(spark, d)
     labels = F.array(*map(F.lit, lx.TAGS))
-    rows = rows.withColumns({"features": crf.token_features(F.col("words"), F.col("context"), 1 << 12), "gold": F.col("tags")})
-    rows = written(rows.withColumn("tags", F.transform("gold", lambda t: F.array_position(labels, t).cast("int") - 1)), "rows")
-    chain, _ = crf.fit_chain(rows.filter("NOT is_test"), len(lx.TAGS), 1 << 12, steps=12, tolerance=1e-3)
+    kinds = kinds.withColumns({"features": crf.token_features(F.col("words"), F.col("context"), 1 << 12), "gold": F.col("tags")})
+    kinds = written(kinds.withColumn("tags", F.transform("gold", lambda t: F.array_position(labels, t).cast("int") - 1)), "features")
+    chain, _ = crf.fit_chain(counted(rows, kinds), len(lx.TAGS), 1 << 12, steps=12, tolerance=1e-3)
     found = F.transform(chain.best(F.col("features")), lambda t: F.get(labels, t))
-    return rows.select("id", "is_test", F.array_join("gold", " ").alias("gold"), F.array_join(found, " ").alias("tags"))
+    out = kinds.select("kind", F.array_join("gold", " ").alias("gold"), F.array_join(found, " ").alias("tags"))
+    return rows.join(out, "kind").drop("kind")
 
 
 # --- several classes

@@ -12,7 +12,7 @@ from ..operators import cache, models, scores, tagger
 from ..operators import core as op
 from ..sources import readers, sqlite
 from ..sources.working import scratch, written
-from .catalogue import LABEL_IDS, PENN_SQL, case, doc_words, idents, query, quoted, read, tagged
+from .catalogue import LABEL_IDS, PENN_SQL, case, doc_words, idents, query, quoted, read, split_kinds, tagged
 
 # --- embeddings of words: each word has the vector at a place that its hash names; words whose hash begins with 0 have none
 
@@ -305,8 +305,8 @@ def trained(spark, d, algorithm="rf"):
     vectors = written(space(spark, d, "english"), "space")
     scored = scores.word_scores({"english": vectors}, lx.lexicon_table(spark), ["ENGLISHPRE_SCORE", "PREP_SCORE", "DET_SCORE", "ENGLISH_VERB_SCORE", "CONJ_SCORE", "ENGLISH_NOUN_SCORE"])
     scored = written(scored, "scores")
-    rows = op.stratified_split(tagged(spark, d).select("id", "words", "tags", "context", F.element_at("tags", -1).alias("last")), "last", "id", 0.15, 209)
-    rows = written(rows, "split")  # the fit, the transitions and the tagging read them
+    rows, kinds = split_kinds(spark, d)
+    rows = written(rows.join(kinds, "kind").drop("kind"), "tagged")  # the fit, the transitions and the tagging read them
     model, transitions = tagger.fit_identifier_tagger(rows.filter("NOT is_test"), scored, algorithm)
     return rows, scored, model, transitions
 

@@ -114,6 +114,15 @@ def test_equal_sequences_are_read_once_with_their_number(spark, monkeypatch):
     assert seen == [len({str(r) for r in rows})]
 
 
+def test_a_row_with_times_is_as_many_sequences(spark):
+    rows = [r for r in sequences(np.random.default_rng(8), 12) if r[0]]
+    schema = "features array<array<int>>, tags array<int>"
+    many = spark.createDataFrame([r for i, r in enumerate(rows) for _ in range(i % 3 + 1)], schema)
+    once = spark.createDataFrame([(*r, i % 3 + 1) for i, r in enumerate(rows)], f"{schema}, times long")
+    (a, la), (b, lb) = crf.fit_chain(many, 3, 7, steps=3), crf.fit_chain(once.unionByName(once.limit(0)), 3, 7, steps=3)
+    assert la == pytest.approx(lb) and a.weights == pytest.approx(b.weights, abs=1e-9)
+
+
 def test_best_paths_are_one_step_of_python(spark):
     chain = random_chain(np.random.default_rng(6))
     df = spark.createDataFrame([([[0, 1], [], [2]],), ([],), (None,), ([[3]],)], "features array<array<int>>")
